@@ -9,8 +9,6 @@ has at most 62 characters.
 
 from __future__ import annotations
 
-from os.path import commonprefix
-
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -21,15 +19,26 @@ from siftline.functions.text import WS, strip
 _CHECK_EVERY = 64
 
 
+def _shared_head(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def _lcs(a: str, b: str, needed: int = 0) -> int:
     """Length of the longest common subsequence, or -1 once below ``needed``.
 
     Bit-parallel (Hyyro 2004): bit i of ``row`` is cleared when a[i] extends a
     common subsequence of ``a`` and the part of ``b`` read so far.
     """
-    head = len(commonprefix((a, b)))
+    head = _shared_head(a, b)
     a, b = a[head:], b[head:]
-    tail = len(commonprefix((a[::-1], b[::-1])))
+    tail = _shared_head(a[::-1], b[::-1])
     if tail:
         a, b = a[:-tail], b[:-tail]
     shared = head + tail
@@ -73,7 +82,7 @@ def _ratio_floor_udf(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
     out = []
     for left, right, least in zip(a, b, floor):
         total = len(left) + len(right)
-        if total == 0:
+        if left == right:
             out.append(100.0)
             continue
         # One below the exact bound, so that rounding never rejects a match.
