@@ -149,7 +149,7 @@ _ITEMS = "array_to_string(list_transform(string_split({0}, '|'), lambda x: trim(
 
 
 @query(
-    f"""SELECT rank, concat(coalesce(concat(chr(10), '# ', heading, chr(10), chr(10)), ''),
+    f"""SELECT rank, concat(CASE WHEN heading IS NULL THEN '' ELSE concat(chr(10), '# ', heading, chr(10), chr(10)) END,
  '---', chr(10), chr(10), '| # | Title | Fit | Link |', chr(10), '|---|-------|-----|------|', chr(10),
  '| ', rank, ' | ', replace(title, '|', '&#124;'), ' at ', replace(company, '|', '&#124;'), ' | ', score, '/100 | [View](', url, ') |', chr(10),
  chr(10), '**Location:** ', location_note, chr(10),

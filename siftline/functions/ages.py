@@ -6,18 +6,16 @@ from pyspark.sql import Column, functions as F
 
 from siftline.functions.text import strip
 
-# Days per unit in both spellings.
-LONG_UNITS = {"hour": 1 / 24, "day": 1.0, "week": 7.0, "month": 30.0}
-SHORT_UNITS = {"mo": 30.0, "d": 1.0, "w": 7.0, "h": 1 / 24}
-
-
-def _in_days(number: Column, unit: Column, per_unit: dict[str, float]) -> Column:
-    n = F.nullif(number, F.lit("")).try_cast("double")
-    days = None
-    for name, factor in per_unit.items():
-        value = n / 24 if factor < 1 else n * factor
-        days = F.when(unit == name, value) if days is None else days.when(unit == name, value)
-    return days
+# Days per unit in both spellings, as (times, divided by).
+LONG_UNITS = {"hour": (1, 24), "day": (1, 1), "week": (7, 1), "month": (30, 1)}
+SHORT_UNITS = {"mo": (30, 1), "d": (1, 1), "w": (7, 1), "h": (1, 24)}
+
+
+def _in_days(number: Column, unit: Column, per_unit: dict[str, tuple[int, int]]) -> Column:
+    lookup = lambda i: F.try_element_at(
+        F.create_map(*[F.lit(x) for name, factor in per_unit.items() for x in (name, float(factor[i]))]), unit
+    )
+    return number.try_cast("double") * lookup(0) / lookup(1)
 
 
 def age_days(c: Column, dialect: str) -> Column:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,6 +37,7 @@ from siftline.functions.similarity import (
     token_sort,
 )
 from siftline.functions.text import normalize_company, normalize_title
+from siftline.session import materialize
 
 # Shortest piece that is still selective; below it the length bands are used.
 MIN_PIECE = 5
@@ -88,27 +90,29 @@ def with_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_texts(keyed: DataFrame, order: str, out: str) -> DataFrame:
-    """One row per distinct text, named by the least ``order`` that has it."""
-    return keyed.groupBy("_digest").agg(
-        F.min(order).alias(out),
-        F.any_value("_len").alias("_len"),
-        F.any_value("_text").alias("_text"),
+def distinct_texts(keyed: DataFrame, order: str, out: str) -> DataFrame:
+    """One row per distinct text, named by the least ``order`` that has it.
+
+    Written once, since the search reads it several times.
+    """
+    texts = keyed.groupBy("_digest").agg(
+        F.min(order).alias(out), F.any_value("_len").alias("_len"), F.any_value("_text").alias("_text")
     )
+    return materialize(texts, "texts")
 
 
-def _hashed(text: Column, length: Column, size: int, step: int) -> Column:
+def _hashed(text: Column, length: Column, size: Column, step: Column) -> Column:
     """Hashes of the substrings of ``size`` characters at 0, step, 2 * step, …
 
     The text is encoded once with four bytes per character, so that cutting out
     a substring is cheap at any offset.
     """
-    starts = F.sequence(F.lit(0), length - size, F.lit(step))
+    starts = F.sequence(F.lit(0), length - size, step)
     return F.get(
         F.transform(
             F.array(F.encode(text, "UTF-32")),
             lambda wide: F.transform(
-                starts, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(size * 4)))
+                starts, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, size * 4), size)
             ),
         ),
         F.lit(0),
@@ -121,41 +125,52 @@ def _length_ratio(threshold: float) -> float:
     return math.inf if t <= 0 else (2 - t) / t
 
 
+def _edits(threshold: float, a: Column, b: Column) -> Column:
+    """Most edits between texts of these lengths at ``threshold``."""
+    return F.floor((1 - threshold / 100) * (a + b) + 1e-6)
+
+
 def _pairs_by_pieces(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
-    """(nid, sid) of texts that share enough pieces."""
-    share = _edit_share(threshold)
+    """(nid, sid) of texts that share enough pieces.
+
+    A stored text has one piece length, by its own length. A new text gives its
+    p-grams for the piece length of every stored text that it could match.
+    """
     ratio = _length_ratio(threshold)
-    tiers = piece_tiers(threshold)
-    found = None
+    length = F.col("_len")
+    own_size = F.lit(None).cast("int")
+    sizes = []
     upper = None
-    for from_length, p in tiers:
-        in_tier = F.col("_len") >= from_length
-        reach = F.col("_len") >= math.floor(from_length / ratio)
+    for from_length, p in piece_tiers(threshold):
+        in_reach = length >= max(p, math.floor(from_length / ratio))
         if upper is not None:
-            in_tier &= F.col("_len") < upper
-            reach &= F.col("_len") <= math.ceil(upper * ratio)
-        pieces = stored.where(in_tier & (F.col("_len") >= p)).select(
-            "sid", F.col("_len").alias("s_len"), F.posexplode(_hashed(F.col("_text"), F.col("_len"), p, p)).alias("piece", "g")
-        )
-        grams = new.where(reach & (F.col("_len") >= p)).select(
-            "nid", F.col("_len").alias("n_len"), F.posexplode(_hashed(F.col("_text"), F.col("_len"), p, 1)).alias("at", "g")
-        )
-        # One above the exact bound, so that rounding never rejects a match.
-        edits = F.floor((1 - threshold / 100) * (F.col("n_len") + F.col("s_len")) + 1e-6)
-        needed = F.greatest(F.lit(1), F.floor(F.col("s_len") / p) - edits)
-        near = (F.abs(F.col("at") - F.col("piece") * p) <= edits) & (
-            F.abs(F.col("n_len") - F.col("s_len")) <= edits
-        )
-        hits = grams.join(pieces, "g").where(near)
-        pairs = (
-            hits.groupBy("nid", "sid", "n_len", "s_len")
-            .agg(F.count_distinct("piece").alias("_shared"))
-            .where(F.col("_shared") >= needed)
-            .select("nid", "sid")
-        )
-        found = pairs if found is None else found.unionByName(pairs)
+            in_reach &= length <= math.ceil(upper * ratio)
+        sizes.append(F.when(in_reach, F.lit(p)))
+        own_size = F.coalesce(own_size, F.when(length >= from_length, F.lit(p)))
         upper = from_length
-    return found
+    n_tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Texts grow some thirtyfold when they are cut up, so the task number is fixed before.
+    pieces = (
+        stored.withColumn("p", own_size).where(F.col("p").isNotNull()).repartition(n_tasks, "sid")
+        .select("sid", length.alias("s_len"), "p", F.posexplode(_hashed(F.col("_text"), length, F.col("p"), F.col("p"))).alias("piece", "g"))
+    )
+    grams = (
+        new.repartition(n_tasks, "nid")
+        .withColumn("q", F.explode(F.array_compact(F.array(*sizes))))
+        .select("nid", length.alias("n_len"), F.posexplode(_hashed(F.col("_text"), length, F.col("q"), F.lit(1))).alias("at", "g"))
+    )
+    edits = _edits(threshold, F.col("n_len"), F.col("s_len"))
+    near = (F.abs(F.col("at") - F.col("piece") * F.col("p")) <= edits) & (
+        F.abs(F.col("n_len") - F.col("s_len")) <= edits
+    )
+    shared = F.count_distinct("piece")
+    needed = F.greatest(F.lit(1), F.floor(F.col("s_len") / F.col("p")) - edits)
+    return (
+        grams.join(pieces, "g").where(near)
+        .groupBy("nid", "sid", "n_len", "s_len", "p").agg(shared.alias("_shared"))
+        .where(F.col("_shared") >= needed)
+        .select("nid", "sid")
+    )
 
 
 def similar_titles_possible(a: Column, b: Column, threshold: float) -> Column:
@@ -163,7 +178,7 @@ def similar_titles_possible(a: Column, b: Column, threshold: float) -> Column:
 
     The Levenshtein distance is never above the indel distance.
     """
-    edits = F.floor((1 - threshold / 100) * (F.length(a) + F.length(b)) + 1e-6)
+    edits = _edits(threshold, F.length(a), F.length(b))
     return (F.abs(F.length(a) - F.length(b)) <= edits) & (F.levenshtein(a, b) <= edits)
 
 
@@ -184,7 +199,7 @@ def _pairs_by_length(new: DataFrame, stored: DataFrame, thresholds: Thresholds)
         band = _band(F.col("s_len"), ratio)
         own = _band(F.col("n_len"), ratio)
         bands = F.when(own == -1, F.array(F.lit(-1))).otherwise(F.array(own - 1, own, own + 1))
-        edits = F.floor((1 - thresholds.description / 100) * (F.col("n_len") + F.col("s_len")) + 1e-6)
+        edits = _edits(thresholds.description, F.col("n_len"), F.col("s_len"))
         lengths = F.abs(F.col("n_len") - F.col("s_len")) <= edits
     left = new.withColumn("_band", F.explode(bands))
     right = stored.withColumn("_band", band)
@@ -226,8 +241,11 @@ def fuzzy_candidates(new: DataFrame, stored: DataFrame, thresholds: Thresholds =
     ours, theirs = side(new, "n_"), side(stored, "s_")
     titles = similar_titles(ours.select("n_title"), theirs.select("s_title"), thresholds.title)
     pairs = ours.join(titles, "n_title").join(theirs, "s_title")
-    scored = pairs.withColumn("company_score", company_score(F.col("n_company"), F.col("s_company")))
-    return scored.where(F.col("company_score") >= thresholds.company)
+    companies = pairs.select("n_company", "s_company").distinct().withColumn(
+        "company_score", company_score(F.col("n_company"), F.col("s_company"))
+    )
+    passed = companies.where(F.col("company_score") >= thresholds.company)
+    return pairs.join(passed, ["n_company", "s_company"])
 
 
 def similar_titles(ours: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
@@ -255,49 +273,60 @@ def verify_text(pairs: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def similar_texts(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """(nid, sid, description_score) of different texts at ``threshold``, found by their pieces.
+
+    Both sides come from ``distinct_texts``. Only for thresholds with ``piece_tiers``.
+    """
+    pairs = _pairs_by_pieces(new, stored, threshold)
+    return _compare(pairs, new, stored, threshold)
+
+
+def _compare(pairs: DataFrame, new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """Fetch the texts of (nid, sid) pairs and compare the ones that differ."""
+    texts = pairs.join(new.select("nid", F.col("_text").alias("n_text")), "nid").join(
+        stored.select("sid", F.col("_text").alias("s_text")), "sid"
+    )
+    different = texts.where(F.col("n_text") != F.col("s_text"))
+    return verify_text(different, threshold).select("nid", "sid", "description_score")
+
+
 def match_variants(new: DataFrame, stored: DataFrame, thresholds: Thresholds) -> DataFrame:
     """First match of each distinct (text, company, title) of the new side.
 
     ``new`` and ``stored`` come from ``with_keys`` and carry ``pos`` and ``seq``.
     """
     ours, theirs = _variants(new, "pos", "n_"), _variants(stored, "seq", "s_")
+    titles_fit = similar_titles_possible(F.col("n_sorted"), F.col("s_sorted"), thresholds.title)
     equal = _score_pairs(
-        ours.join(theirs, F.col("n_digest") == F.col("s_digest")).where(
-            similar_titles_possible(F.col("n_sorted"), F.col("s_sorted"), thresholds.title)
-        ),
-        thresholds,
+        ours.join(theirs, F.col("n_digest") == F.col("s_digest")).where(titles_fit), thresholds
     ).withColumn("description_score", F.lit(100.0))
     matches = [equal]
     if thresholds.description < 100:
-        new_texts = _distinct_texts(new, "pos", "nid")
-        stored_texts = _distinct_texts(stored, "seq", "sid")
+        new_texts, stored_texts = distinct_texts(new, "pos", "nid"), distinct_texts(stored, "seq", "sid")
+        n_ids = new_texts.select("nid", F.col("_digest").alias("n_digest"))
+        s_ids = stored_texts.select("sid", F.col("_digest").alias("s_digest"))
         if piece_tiers(thresholds.description):
-            by_text = _pairs_by_pieces(new_texts, stored_texts, thresholds.description)
+            # Few pairs of texts are left here, so compare them first and add titles and companies.
+            texts = similar_texts(new_texts, stored_texts, thresholds.description)
             pairs = (
-                by_text.join(new_texts.select("nid", F.col("_digest").alias("n_digest")), "nid")
-                .join(stored_texts.select("sid", F.col("_digest").alias("s_digest")), "sid")
-                .where(F.col("n_digest") != F.col("s_digest"))
-                .join(ours, "n_digest")
-                .join(theirs, "s_digest")
-                .where(similar_titles_possible(F.col("n_sorted"), F.col("s_sorted"), thresholds.title))
+                texts.join(n_ids, "nid").join(ours, "n_digest")
+                .join(s_ids, "sid").join(theirs, "s_digest").where(titles_fit)
             )
+            matches.append(_score_pairs(pairs, thresholds))
         else:
+            # Many pairs have a fitting length, so titles and companies come before the texts,
+            # and each pair of texts is compared once however many titles and companies it has.
             pairs = _pairs_by_length(ours, theirs, thresholds).where(F.col("n_digest") != F.col("s_digest"))
-        candidates = _score_pairs(pairs, thresholds)
-        # Each pair of texts is compared once, whatever the number of its titles and companies.
-        compared = verify_text(
-            candidates.select("n_digest", "s_digest").distinct()
-            .join(new_texts.select(F.col("_digest").alias("n_digest"), F.col("_text").alias("n_text")), "n_digest")
-            .join(stored_texts.select(F.col("_digest").alias("s_digest"), F.col("_text").alias("s_text")), "s_digest"),
-            thresholds.description,
-        ).select("n_digest", "s_digest", "description_score")
-        matches.append(candidates.join(compared, ["n_digest", "s_digest"]))
+            scored = _score_pairs(pairs, thresholds).join(n_ids, "n_digest").join(s_ids, "s_digest")
+            texts = _compare(
+                scored.select("nid", "sid").distinct(), new_texts, stored_texts, thresholds.description
+            )
+            matches.append(scored.join(texts, ["nid", "sid"]))
     columns = [
         "n_digest", "n_company", "n_title", "s_first", "company_score", "title_score", "description_score",
     ]
-    every = matches[0].select(*columns)
-    for more in matches[1:]:
-        every = every.unionByName(more.select(*columns))
+    every = reduce(lambda a, b: a.unionByName(b), [m.select(*columns) for m in matches])
     first = F.min_by(F.struct("s_first", "company_score", "title_score", "description_score"), "s_first")
     return every.groupBy("n_digest", "n_company", "n_title").agg(first.alias("m")).select(
         F.col("n_digest").alias("_digest"), "n_company", "n_title", "m.*"

@@ -139,28 +139,42 @@ def parse_fields(blocks: DataFrame) -> DataFrame:
     A repeated key counts with its last value.
     """
     key_of = rf"(?s)\A{WS}*({'|'.join(P.ANSWER_KEYS)}){WS}*: .*"
-    positions = F.sequence(F.lit(0), F.size("_lines") - 1)
-    marked = (
-        blocks.withColumn("_lines", F.split("block", LINE_END))
-        .withColumn("_keys", F.transform("_lines", lambda line: F.regexp_extract(line, key_of, 1)))
-        .withColumn("_texts", F.transform("_lines", strip))
-    )
-    ends_value = lambda i: (F.get("_keys", i) != "") | (F.get("_texts", i) == "")
-    last_line_of = lambda key: F.array_max(F.filter(positions, lambda i: F.get("_keys", i) == key))
-    found = marked.select(
-        "*",
-        F.filter(positions, ends_value).alias("_ends"),
-        *[last_line_of(key).alias(f"_at_{key}") for key in P.ANSWER_KEYS],
+
+    def read(lines: Column, marked: Column) -> Column:
+        positions = F.sequence(F.lit(0), F.size(lines) - 1)
+        ends_value = lambda i: (F.get(marked["keys"], i) != "") | (F.get(marked["texts"], i) == "")
+
+        def from_line(at: Column, ends: Column) -> Column:
+            end = F.coalesce(F.array_min(F.filter(ends, lambda i: i > at)), F.size(lines))
+            first = strip(F.regexp_extract(F.get(lines, at), r"(?s)\A.*?: (.*)\z", 1))
+            rest = F.slice(marked["texts"], at + 2, end - at - 1)
+            return F.when(at.isNotNull(), F.array_join(F.concat(F.array(first), rest), " "))
+
+        def value(key: Column, ends: Column) -> Column:
+            last = F.array_max(F.filter(positions, lambda i: F.get(marked["keys"], i) == key))
+            return _bind(last, lambda at: from_line(at, ends))
+
+        all_keys = F.array(*[F.lit(key) for key in P.ANSWER_KEYS])
+        return _bind(
+            F.filter(positions, ends_value),
+            lambda ends: F.transform(all_keys, lambda key: value(key, ends)),
+        )
+
+    def mark(lines: Column) -> Column:
+        keys = F.transform(lines, lambda line: F.regexp_extract(line, key_of, 1))
+        marked = F.struct(keys.alias("keys"), F.transform(lines, strip).alias("texts"))
+        return _bind(marked, lambda m: read(lines, m))
+
+    # The explode keeps later filters from repeating the parse in their conditions.
+    parsed = blocks.select("*", F.explode(F.array(_bind(F.split("block", LINE_END), mark))).alias("_values"))
+    return parsed.select(
+        *blocks.columns, *[F.get("_values", F.lit(i)).alias(key) for i, key in enumerate(P.ANSWER_KEYS)]
     )
 
-    def value(key: str) -> Column:
-        at = F.col(f"_at_{key}")
-        end = F.coalesce(F.array_min(F.filter("_ends", lambda i: i > at)), F.size("_lines"))
-        first = strip(F.regexp_extract(F.get("_lines", at), r"(?s)\A.*?: (.*)\z", 1))
-        rest = F.slice("_texts", at + 2, end - at - 1)
-        return F.when(at.isNotNull(), F.array_join(F.concat(F.array(first), rest), " "))
 
-    return found.select(*blocks.columns, *[value(key).alias(key) for key in P.ANSWER_KEYS])
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _bad_integer(c: Column) -> Column:
