@@ -91,6 +91,11 @@ def _ratio_floor_udf(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+# So marked, a score is computed once; otherwise a filter on it would compute it a second time.
+_indel_udf = _indel_udf.asNondeterministic()
+_ratio_floor_udf = _ratio_floor_udf.asNondeterministic()
+
+
 def indel_distance(a: Column, b: Column) -> Column:
     return _indel_udf(a, b)
 
