@@ -1,0 +1,7 @@
+"""Registered queries, their SQL, and a tool that compares both."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
