@@ -74,7 +74,7 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
         f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
         f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)"
     )
-    return f"(12742.0 * asin(sqrt(least(1.0, {a}))))"
+    return f"(12742.0 * asin(sqrt(CASE WHEN {a} > 1 THEN 1.0 ELSE {a} END)))"
 
 
 def age(c: str, dialect: str) -> str:
