@@ -53,11 +53,13 @@ def _lcs(a: str, b: str, needed: int = 0) -> int:
         where[ch] = where.get(ch, 0) | (1 << i)
     full = (1 << len(a)) - 1
     row = full
+    # With at most this many edits, the part of b read so far lies within as many more characters of a.
+    edits = len(a) + len(b) - 2 * max(needed - shared, 0)
     for done, ch in enumerate(b, 1):
         hit = row & where.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-        if done % _CHECK_EVERY == 0:
-            reached = len(a) - row.bit_count()
+        if done % _CHECK_EVERY == 0 and done + edits < len(a):
+            reached = done + edits - (row & ((1 << (done + edits)) - 1)).bit_count()
             if shared + reached + len(b) - done < needed:
                 return -1
     return shared + len(a) - row.bit_count()
