@@ -89,7 +89,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, w: Windows) -> tuple[np.ndarra
             if len(windows):
                 turn = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                 ends = np.r_[turn[1:] - 1, len(windows) - 1]
-                found.append((owner[turn], at + least[turn], windows[turn], windows[ends], hashes[least[turn]]))
+                chosen = hashes[least[turn]]
+                # Least hashes begin with zeros, so the halves change places: parts are cut by the other half.
+                chosen = chosen << np.uint64(32) | chosen >> np.uint64(32)
+                found.append((owner[turn], at + least[turn], windows[turn], windows[ends], chosen))
         doc = last
     if not found:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
