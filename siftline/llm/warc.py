@@ -43,7 +43,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, file_records:
     rows = pages.select(id_in("page_id").alias("id"), F.col("url"), text_in("html").alias("html"))
     rows = rows.withColumn("digest", sha1_base32(F.col("html").cast("binary")))
     copies = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    rows = rows.join(copies.select("digest", "first"), "digest", "left")
+    # Written first: its size tells whether the payloads have to be shuffled to meet it.
+    copies = materialize(copies.select("digest", "first"), "copies")
+    rows = rows.join(copies, "digest", "left")
     revisit = (F.col("id") > F.col("first")) & (F.octet_length("html") >= least_bytes)
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), "html"))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), " ", "%20")
