@@ -211,7 +211,7 @@ def _suffixes(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, shared: lis
 def _common(rows: np.ndarray, width: int) -> np.ndarray:
     """Length of the common prefix of every row with the row before; 0 for the first."""
     out = np.zeros(len(rows), np.int64)
-    if len(rows) > 1:
+    if len(rows) > 1 and width:
         differs = rows[1:, :width] != rows[:-1, :width]
         out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
     return out
