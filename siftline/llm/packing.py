@@ -34,8 +34,6 @@ class WordTokenizer:
         self.most_words = most_words
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most_words:
-            self.known.clear()
         plain = [w for w in words if w.isascii()]
         for w in plain:
             self.known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<u4").tobytes()
@@ -56,9 +54,11 @@ class WordTokenizer:
         try:
             return b"".join([self.known[w] for w in words])
         except KeyError:
-            self._learn({w for w in words if w not in self.known})
-            if len(words) > self.most_words:
-                self._learn(set(words))
+            new = {w for w in words if w not in self.known}
+            if len(self.known) + len(new) > self.most_words:
+                self.known.clear()
+                new = set(words)
+            self._learn(new)
             return b"".join([self.known[w] for w in words])
 
 
