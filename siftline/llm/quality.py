@@ -169,6 +169,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     taught = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     taught = taught.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = rows.dropDuplicates(["doc_id"]).join(taught, "doc_id").select("quality", "doc_id", *names)
+    # Few more than the sample pass the hash, so the final cut does not gather a sample from every task.
+    share = min(1.0, 1.1 * sample / max(1, taught.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).drop("doc_id").collect()
     data = np.array([tuple(r) for r in some], float).reshape(len(some), len(names) + 1)
     model = fit_rules(data[:, 1:], data[:, 0], names)
