@@ -20,8 +20,14 @@ _LETTERS, _DIGITS, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 
 
+# Byte-level alphabet: printable Latin-1 bytes are themselves, the others follow after 255 in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(0x100) if b not in _SHOWN]
+_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(_HIDDEN)}
+
+
 class WordTokenizer:
-    """A word BPE that tokenises every different word once.
+    """A byte-level word BPE that tokenises every different word once.
 
     Words never join in this kind of tokenizer, so the ids of a text are those of
     its words in turn. Texts beyond Latin-1, or with a special token's brackets,
@@ -34,12 +40,10 @@ class WordTokenizer:
         self.most_words = most_words
 
     def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isascii()]
-        for w in plain:
-            self.known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<u4").tobytes()
-        other = [w for w in words if not w.isascii()]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        model = self.tokenizer.model
+        for w in words:
+            spelled = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_ALPHABET)
+            self.known[w] = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""

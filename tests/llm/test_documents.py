@@ -171,7 +171,7 @@ def test_pack_documents(docs, nothing):
 
 def test_tokenizer_forgets():
     tokenizer, small = Tokenizer.from_file(TOKENIZER), WordTokenizer(TOKENIZER, most_words=3)
-    for text in ("one two three", "four one", "three two one four five", "one", "naïve <|endoftext|> x", "Ωmega ΟΔΟΣ two", "can't 12"):
+    for text in ("one two three", "four one", "three two one four five", "one", "naïve <|endoftext|> x", "Ωmega ΟΔΟΣ two", "can't 12", "a\x00b \x7f\x1f", "\x85\xadß\xa0"):
         assert np.frombuffer(small.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
