@@ -31,25 +31,19 @@ class WordTokenizer:
 
     Words never join in this kind of tokenizer, so the ids of a text are those of
     its words in turn. Texts beyond Latin-1, or with a special token's brackets,
-    go through the tokenizer whole. Words are remembered in two generations
-    of ``most_words``: a word that is met again moves to the younger one, and a full
-    younger one replaces the older.
+    go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000) -> None:
+    def __init__(self, path: str, most_words: int = 400_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.most_words = most_words
 
     def _learn(self, words: set[str]) -> None:
         model = self.tokenizer.model
         for w in words:
-            ids = self.older.get(w)
-            if ids is None:
-                spelled = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_ALPHABET)
-                ids = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
-            self.known[w] = ids
+            spelled = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_ALPHABET)
+            self.known[w] = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
@@ -66,7 +60,7 @@ class WordTokenizer:
         except KeyError:
             new = {w for w in words if w not in self.known}
             if len(self.known) + len(new) > self.most_words:
-                self.older, self.known = self.known, {}
+                self.known.clear()
                 new = set(words)
             self._learn(new)
             return b"".join([self.known[w] for w in words])
