@@ -97,6 +97,11 @@ def assign_pos(t: Tables) -> DataFrame:
     return numbering.assign_pos(t.listings, page="source").select("source", "pos", "job_id")
 
 
+@query("SELECT pos, row_number() OVER (ORDER BY page, pos) - 1 AS job_id FROM listings")
+def assign_pos_by_page(t: Tables) -> DataFrame:
+    return numbering.assign_pos(t.listings).select("pos", "job_id")
+
+
 # --- ranking and reports
 
 TIERED = {

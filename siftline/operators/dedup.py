@@ -41,8 +41,7 @@ from siftline.session import materialize
 
 # Shortest piece that is still selective; below it the length bands are used.
 MIN_PIECE = 5
-# Up to this many pairs of rows the store is searched in one pass, beyond it in growing slices.
-ONE_PASS_PAIRS = 10**10
+# Rows of the first slice of the store, and how much longer each next one is.
 FIRST_SLICE = 1024
 SLICE_GROWTH = 32
 
@@ -339,11 +338,11 @@ def match_variants(new: DataFrame, stored: DataFrame, thresholds: Thresholds) ->
     )
 
 
-def _slices(new: DataFrame, stored: DataFrame) -> list[tuple[int, int] | None]:
-    """Ranges of ``seq`` to search one after the other, short ones first; [None] for one pass."""
-    size = stored.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    if size.n * new.count() <= ONE_PASS_PAIRS:
-        return [None]
+def _slices(stored: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of ``seq`` to search one after the other, short ones first."""
+    size = stored.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    if size.low is None:
+        return [(0, 0)]
     slices, low, width = [], size.low, FIRST_SLICE
     while low <= size.high:
         slices.append((low, low + width))
@@ -354,7 +353,7 @@ def _slices(new: DataFrame, stored: DataFrame) -> list[tuple[int, int] | None]:
 def find_matches(new: DataFrame, stored: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """(pos, matched seq, three scores): one row per new listing that was seen before.
 
-    A large store is searched in slices of store order, each many times longer
+    The store is searched in slices of store order, each many times longer
     than the one before. A listing that has matched leaves the search, since
     its first match cannot be in a later slice. So a family of near copies on
     both sides, however large, meets in a short slice and is gone from the rest.
@@ -362,16 +361,12 @@ def find_matches(new: DataFrame, stored: DataFrame, thresholds: Thresholds = Thr
     keys = ["_digest", "n_company", "n_title"]
     ours = with_keys(new.select("pos", "company", "title", "description"))
     theirs = with_keys(stored.select("seq", "company", "title", "description"))
-    slices = _slices(new, stored)
-    if slices == [None]:
-        variants = match_variants(ours, theirs, thresholds)
-    else:
-        found, still_open = [], ours
-        for low, high in slices:
-            part = theirs.where((F.col("seq") >= low) & (F.col("seq") < high))
-            found.append(materialize(match_variants(still_open, part, thresholds), "variants"))
-            still_open = still_open.join(found[-1].select(*keys), keys, "left_anti")
-        variants = reduce(lambda a, b: a.unionByName(b), found)
+    found, still_open = [], ours
+    for low, high in _slices(stored):
+        part = theirs.where((F.col("seq") >= low) & (F.col("seq") < high))
+        found.append(materialize(match_variants(still_open, part, thresholds), "variants"))
+        still_open = still_open.join(found[-1].select(*keys), keys, "left_anti")
+    variants = reduce(lambda a, b: a.unionByName(b), found)
     return ours.select("pos", *keys).join(variants, keys).select(
         "pos",
         F.col("s_first").alias("matched_seq"),

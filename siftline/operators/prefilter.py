@@ -117,10 +117,11 @@ def require_fields(df: DataFrame, policies: Sequence[SourcePolicy] = POLICIES) -
         F.coalesce(F.col("title"), F.lit("")) == ""
     )
     absent = F.col("description").isNull()
-    no_text = (_sources(policies, lambda p: p.missing_description == "drop") & (absent | F.col("failed"))) | (
-        _sources(policies, lambda p: p.missing_description == "keep_unless_failed") & F.col("failed")
+    failed = F.coalesce("failed", F.lit(False))
+    no_text = (_sources(policies, lambda p: p.missing_description == "drop") & (absent | failed)) | (
+        _sources(policies, lambda p: p.missing_description == "keep_unless_failed") & failed
     )
-    kept = df.where(~F.col("hidden") & ~no_key & ~no_title & ~no_text)
+    kept = df.where(~F.coalesce("hidden", F.lit(False)) & ~no_key & ~no_title & ~no_text)
     return kept.withColumn("description", F.coalesce("description", F.lit("")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.functions.text import html_escape, md_escape, score_band, split_requirements
 from siftline.operators.numbering import number_rows, pos_block
 from siftline.operators.ranking import rank_by_tier, tier_breaks
+from siftline.session import materialize
 
 
 def report_header(summary: DataFrame) -> DataFrame:
@@ -58,11 +59,11 @@ def render_markdown(ranked: DataFrame) -> DataFrame:
 
 
 def write_report(rendered: DataFrame, header: DataFrame, path: str, order: str = "rank") -> None:
-    """Write the text in order: part files sorted by name give the whole report."""
+    """Write the text in order: part files sorted by name give the whole report. An earlier report there is replaced."""
     lines = header.select(F.lit(0).cast("bigint").alias("_at"), F.col("header").alias("value")).unionByName(
         rendered.select(F.col(order).cast("bigint").alias("_at"), F.col("fragment").alias("value"))
     )
-    lines.orderBy("_at").select("value").write.text(path)
+    lines.orderBy("_at").select("value").write.mode("overwrite").text(path)
 
 
 def dup_report(new: DataFrame, matches: DataFrame) -> DataFrame:
@@ -105,6 +106,7 @@ def _whole(c: Column) -> Column:
 
 def write_dup_report(report: DataFrame, path: str) -> bool:
     """Write the duplicate report unless it is empty."""
+    report = materialize(report, "duplicates")
     if report.isEmpty():
         return False
     header = report.agg(F.count("*").alias("n")).select(
@@ -114,15 +116,16 @@ def write_dup_report(report: DataFrame, path: str) -> bool:
     return True
 
 
-def write_run(df: DataFrame, path: str, source: str, profile: str, run_date: dt.date) -> None:
-    """Write a table under source, profile and date; a repeated run replaces its own part."""
+def write_run(df: DataFrame, path: str, source: str, profile: str, run_date: dt.date, run_id: int = 0) -> None:
+    """Write a table under source, profile, date and run; a repeated run replaces its own part only."""
     stamp = run_date.strftime("%Y_%m_%d")
     (
         df.withColumn("source", F.lit(source))
         .withColumn("profile", F.lit(profile))
         .withColumn("run_date", F.lit(stamp))
+        .withColumn("run_id", F.lit(run_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source", "profile", "run_date")
+        .partitionBy("source", "profile", "run_date", "run_id")
         .parquet(path)
     )

@@ -91,12 +91,14 @@ def continuation_prompts(
     )
 
 
-def score_batches(prompts: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
+def score_batches(prompts: DataFrame, scorer: Callable[[str], str], tasks: int | None = None) -> DataFrame:
     """Answers of ``scorer(prompt)``, one row per batch.
 
     An exception fails its own batch: it becomes the ``error`` of the row.
     With a ``conversation`` column, the batches of one conversation run in
-    order in one task.
+    order in one task. The prompts are dealt to ``tasks`` tasks, by default as many as
+    ``spark.sql.shuffle.partitions``: an explicit number, since small prompts would be merged
+    into few tasks while their answers take seconds each.
     """
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,8 +113,11 @@ def score_batches(prompts: DataFrame, scorer: Callable[[str], str]) -> DataFrame
                     errors.append(str(e))
             yield pd.DataFrame({"batch": part["batch"], "response": responses, "error": errors})
 
+    n_tasks = int(tasks or prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "conversation" in prompts.columns:
-        prompts = prompts.repartition("conversation").sortWithinPartitions("conversation", "batch")
+        prompts = prompts.repartition(n_tasks, "conversation").sortWithinPartitions("conversation", "batch")
+    else:
+        prompts = prompts.repartition(n_tasks, "batch")
     return prompts.select("batch", "prompt").mapInPandas(
         answer, "batch BIGINT, response STRING, error STRING"
     )
@@ -177,8 +182,9 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _bad_integer(c: Column) -> Column:
-    return c.isNotNull() & ~strip(c).rlike(INTEGER)
+def _bad_integer(c: Column, kind: str = "int") -> Column:
+    """No integer, or one beyond ``kind``."""
+    return c.isNotNull() & _integer(c, kind).isNull()
 
 
 def _integer(c: Column, kind: str) -> Column:
@@ -194,7 +200,7 @@ def type_results(fields: DataFrame) -> DataFrame:
     not_int = lambda c: F.format_string(P.BAD_INTEGER, c)
     error = (
         F.when(f["JOB_ID"].isNull(), missing("JOB_ID"))
-        .when(_bad_integer(f["JOB_ID"]), not_int(f["JOB_ID"]))
+        .when(_bad_integer(f["JOB_ID"], "bigint"), not_int(f["JOB_ID"]))
         .when(f["STATUS"].isNull(), missing("STATUS"))
         .when(filtered & f["REASON"].isNull(), missing_of("REASON", "FILTERED"))
         .when(scored & f["SCORE"].isNull(), missing_of("SCORE", "SCORED"))

@@ -33,7 +33,7 @@ from siftline.operators.scoring import (
 )
 from siftline.schemas import GEOCODE_CACHE
 from siftline.session import materialize
-from siftline.sources.listings import read_listings
+from siftline.sources.listings import fill_listings, read_listings
 from siftline.sources.settings import Settings
 from siftline.sources.store import append_store, clear_store, read_geocode_cache, read_store, write_geocode_cache
 
@@ -44,7 +44,7 @@ class RunOptions:
     report_path: str
     run_id: int
     run_date: dt.date
-    batch_size: int = 1
+    batch_size: int | None = None
     conversations: int | None = None
     dedup: bool = True
     clear: bool = False
@@ -65,14 +65,18 @@ def score_listings(
     listings: DataFrame,
     settings: Settings,
     scorer: Callable[[str], str],
-    batch_size: int = 1,
+    batch_size: int | None = None,
     conversations: int | None = None,
 ) -> DataFrame:
     """Listings with their result columns.
 
+    Batch size and concurrency come from the scorer's settings unless given.
+
     Positions are made dense first, since a batch is a run of positions. The
     answers are written once: they are expensive and several branches read them.
     """
+    if batch_size is None:
+        batch_size = int(settings.scorer_settings.get("batch_size", 1))
     dense = assign_pos(listings, order="pos").withColumn("_pos", F.col("pos")).withColumn("pos", F.col("job_id"))
     batched = materialize(assign_batches(dense, batch_size), "batched")
     prompts = (
@@ -80,7 +84,7 @@ def score_listings(
         if conversations is None
         else continuation_prompts(batched, settings.profile, conversations)
     )
-    responses = materialize(score_batches(prompts, scorer), "responses")
+    responses = materialize(score_batches(prompts, scorer, settings.scorer_settings.get("max_concurrent")), "responses")
     results = parse_responses(responses, batched.select("batch", "pos"))
     joined = reassemble(batched, results)
     return joined.withColumn("pos", F.col("_pos")).drop("_pos", "job_id", "batch", "start_index")
@@ -108,9 +112,16 @@ def run(
     path: str = "",
     geocoder: Callable[[DataFrame], DataFrame] | None = None,
 ) -> RunResult:
-    """One run. It sees what earlier runs have committed and commits its own rows last."""
+    """One run. It sees what earlier runs have committed and commits its own rows last.
+
+    ``pos`` of the results counts all listings in (page, position) order, since positions
+    may start again on each page. All outputs carry the run id; repeating a run, also
+    one that has failed half-way, replaces them.
+    """
     if listings is None:
         listings = read_listings(spark, settings.source, path)
+    dense = assign_pos(fill_listings(listings))
+    listings = materialize(dense.withColumn("pos", F.col("job_id")).drop("job_id"), "listings")
     kept, _ = prefilter(listings, settings.prefilter)
     if options.clear:
         clear_store(spark, options.store_path, settings.profile_name, options.run_id)
@@ -160,8 +171,13 @@ def run(
     results = materialize(results, "located")
 
     summary = run_summary(results, n_duplicates)
-    report = render_markdown(ranked_report(results.where(F.col("result_type") == "scored")))
-    write_run(report.drop("source"), f"{options.report_path}/table", settings.source, settings.profile_name, options.run_date)
+    report = materialize(
+        render_markdown(ranked_report(results.where(F.col("result_type") == "scored"))), "report"
+    )
+    write_run(
+        report.drop("source"), f"{options.report_path}/table", settings.source, settings.profile_name,
+        options.run_date, options.run_id,
+    )
     stamp = options.run_date.strftime("%Y_%m_%d")
     write_report(
         report,

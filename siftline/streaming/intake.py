@@ -31,7 +31,7 @@ def stream_run(
     out: str,
     checkpoint: str,
     run_date: dt.date,
-    batch_size: int = 1,
+    batch_size: int | None = None,
 ) -> None:
     """Score all listings that are available and stop.
 

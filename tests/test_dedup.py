@@ -120,11 +120,10 @@ def test_other_thresholds(data, company, title):
 @pytest.mark.parametrize("threshold", [85, 95])
 def test_slices_of_the_store(data, threshold, monkeypatch):
     new, stored, n, s, forms = data
-    monkeypatch.setattr(D, "ONE_PASS_PAIRS", 0)
     monkeypatch.setattr(D, "FIRST_SLICE", 8)
     monkeypatch.setattr(D, "SLICE_GROWTH", 4)
     thresholds = D.Thresholds(50, 80, threshold)
-    assert len(D._slices(n, s)) == 3
+    assert len(D._slices(s)) == 3
     want = nested_loop(new, stored, forms, thresholds)
     got = {r.pos: r.matched_seq for r in D.find_matches(n, s, thresholds).collect()}
     assert got == {p: v[0] for p, v in want.items()}

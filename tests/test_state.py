@@ -150,7 +150,7 @@ def test_many_locations_in_parts(spark, monkeypatch):
     places = spark.createDataFrame([(i, f"p{i}", rng.uniform(-80, 80), rng.uniform(-180, 180), 900.0) for i in range(60)], LOCATION)
     points = spark.createDataFrame([(i, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(50)] + [(50, None, None)], "pos bigint, lat double, lon double")
     whole = {r.pos: (r._nearest, r._matched) for r in locate.closest_locations(points, places).collect()}
-    monkeypatch.setattr(locate, "ARRAY_LIMIT", 7)
+    monkeypatch.setattr(locate, "PART_LOCATIONS", 7)
     parts = {r.pos: (r._nearest, r._matched) for r in locate.closest_locations(points, places).collect()}
     assert whole == parts and whole[50] == (None, None)
 
@@ -217,3 +217,74 @@ def test_report_of_an_empty_result(spark, tmp_path):
     got = run(spark, settings(), RunOptions(f"{tmp_path}/s", f"{tmp_path}/o", 1, DAY), golden_scorer, listings=rows)
     assert got.summary.first().asDict() == {"scored": 0, "filtered": 0, "failed": 0, "committed": 0, "duplicates": 0}
     assert st.read_store(spark, f"{tmp_path}/s").count() == 0
+
+
+def every_job(prompt):
+    ids = [part.split("\n", 1)[0] for part in prompt.split("### JOB ")[1:]]
+    return "\n\n".join(f"JOB_ID: {i}\nSTATUS: SCORED\nSCORE: 50\nREASONING: r" for i in ids)
+
+
+def test_positions_may_start_again_on_each_page(spark, tmp_path):
+    rows = [(*r[:7], page, 0) for page, r in enumerate(listing_rows(3))]
+    go = lambda n, run_id: run(
+        spark, settings(), RunOptions(f"{tmp_path}/s", f"{tmp_path}/o", run_id, DAY, batch_size=2), every_job,
+        listings=spark.createDataFrame(rows[:n], LISTING),
+    )
+    assert go(1, 1).summary.first().scored == 1
+    second = go(3, 2)
+    assert sorted(r.title for r in second.results.collect()) == ["Title 1", "Title 2"]
+    assert second.summary.first().duplicates == 1
+    table = spark.read.parquet(f"{tmp_path}/o/table")  # two runs on one date
+    assert sorted((r.run_id, r.title) for r in table.collect()) == [(1, "Title 0"), (2, "Title 1"), (2, "Title 2")]
+    assert st.read_store(spark, f"{tmp_path}/s").count() == 3
+
+
+def test_run_is_repeated_after_a_crash(spark, tmp_path, monkeypatch):
+    from siftline.plans import run as plan
+
+    go = lambda: run(
+        spark, settings(), RunOptions(f"{tmp_path}/s", f"{tmp_path}/o", 1, DAY, batch_size=5), every_job,
+        listings=spark.createDataFrame(listing_rows(), LISTING),
+    )
+
+    def crash(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(plan, "append_store", crash)
+        with pytest.raises(RuntimeError):
+            go()
+    for _ in range(2):
+        assert go().summary.first().scored == 5
+        assert st.read_store(spark, f"{tmp_path}/s").count() == 5
+        assert spark.read.parquet(f"{tmp_path}/o/table").count() == 5
+
+
+def test_nulls_in_listings(spark, tmp_path):
+    rows = [(None, "A", None, None, None, "text one", "linkedin", 0, 0), ("T", None, "x", "u", "d", None, "linkedin", 0, 1)]
+    got = run(
+        spark, settings(), RunOptions(f"{tmp_path}/s", f"{tmp_path}/o", 1, DAY, batch_size=2), every_job,
+        listings=spark.createDataFrame(rows, LISTING),
+    )
+    assert got.summary.first().scored == 2
+
+
+def test_prompts_are_spread_over_tasks(spark):
+    from siftline.operators.scoring import score_batches
+
+    def where_am_i(prompt):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    prompts = spark.range(200).selectExpr("id AS batch", "'x' AS prompt")
+    assert {r.response for r in score_batches(prompts, where_am_i, 5).collect()} == set("01234")
+    chats = prompts.withColumn("conversation", F.col("batch") % 40)
+    assert len({r.response for r in score_batches(chats, where_am_i).collect()}) > 1
+
+
+def test_numbers_in_many_buckets(spark):
+    rows = [(page, pos) for page in range(300) for pos in range(page % 4)]
+    got = numbering.assign_pos(spark.createDataFrame(rows, "page bigint, pos bigint").repartition(7)).collect()
+    assert [(r.page, r.pos) for r in sorted(got, key=lambda r: r.job_id)] == rows
+    assert sorted(r.job_id for r in got) == list(range(len(rows)))
