@@ -78,11 +78,11 @@ def find_exponent(
 
 def mix_sources(
     docs: DataFrame, repeat_limit: float | None = None, entropy: float | None = None, budget: float | None = None,
-    block_tokens: int = 1 << 20, seed: int = 1, tokens: Column | None = None,
+    block_tokens: int = 1 << 20, seed: int = 1, tokens: Column | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` (doc_id, text, source, …) mixed to weights proportional to source tokens ^ exponent.
 
-    Each row of the result has all columns of ``docs`` in struct ``doc``, and copy (0, 1, …),
+    Each row of the result has the columns ``keep`` of ``docs`` (all by default) in struct ``doc``, and copy (0, 1, …),
     tokens, start (the tokens of its source before it), block and turn. A source with weight w
     takes w * budget tokens: whole permuted passes as long as they fit, then the start of one
     more, up to the document that reaches the budget. Without ``budget`` the
@@ -96,12 +96,15 @@ def mix_sources(
 
     Permutations are sorted hashes. The running totals come from sums over slices
     of about SLICE_ROWS rows of the hash range, added up per source, and a window
-    inside each slice, so a source of any size is spread over tasks.
+    inside each slice, so a source of any size is spread over tasks. Slices beyond
+    the budget are left out before the one shuffle that moves the kept columns.
     """
     size = tokens if tokens is not None else token_estimate(text_in())
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("_source"), size.alias("tokens"),
-        F.xxhash64(id_in("doc_id"), F.col("text")).alias("_own"),
+        F.struct(*[F.col(f"`{c}`") for c in (keep if keep is not None else docs.columns)]).alias("doc"),
+        # A null source has a key too, so that joins and windows share one partitioning.
+        F.coalesce(F.concat(F.lit("of "), F.col("source").cast("string")), F.lit("")).alias("_source"),
+        size.alias("tokens"), id_in("doc_id").alias("_id"), F.xxhash64(id_in("doc_id"), F.col("text")).alias("_own"),
     )
     sources = materialize(
         rows.groupBy("_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "sources"
@@ -111,25 +114,23 @@ def mix_sources(
     weights = sources.withColumn("w", F.when(F.col("tokens") > 0, weight).otherwise(0.0))
     norm = weights.agg(F.sum("w")).first()[0] or 1.0
     plan = weights.select(
-        F.col("_source").alias("_s"), F.col("tokens").alias("_of"), (F.col("w") / norm).alias("weight"),
+        "_source", F.col("tokens").alias("_of"), (F.col("w") / norm).alias("weight"),
         F.ceil(F.col("n") / SLICE_ROWS).alias("_slices"),
         F.greatest(F.round(F.col("w") / norm * mix.budget).cast("bigint"), F.lit(0)).alias("_budget"),
     )
-    taken = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
     last = F.when(F.col("_of") > 0, F.ceil(F.col("_budget") / F.col("_of")) - 1).otherwise(0)
     copies = F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int")))
-    taken = taken.withColumn("copy", copies)
-    turn = F.xxhash64(F.lit(seed), "copy", "_own")
-    taken = taken.withColumn("turn", turn)
+    taken = rows.join(plan, "_source").withColumn("copy", copies)
+    taken = taken.withColumn("turn", F.xxhash64(F.lit(seed), "copy", "_own"))
     taken = taken.withColumn("_slice", F.floor((F.col("turn") / 2.0**64 + 0.5) * F.col("_slices")))
     keys = ["_source", "copy", "_slice"]
-    sums = taken.groupBy(*keys).agg(F.sum("tokens").alias("held"))
     order = Window.partitionBy("_source", "copy").orderBy("_slice")
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.sum("held").over(order) - F.col("held")).alias("_before"))
-    within = Window.partitionBy(*keys).orderBy("turn", "doc.doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = taken.withColumn("_running", F.sum("tokens").over(within) - F.col("tokens"))
-    placed = placed.join(sums, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    placed = placed.withColumn("start", F.col("copy") * F.col("_of") + F.col("_before") + F.col("_running"))
+    sums = taken.groupBy(*keys).agg(F.sum("tokens").alias("_held"))
+    sums = materialize(sums.select(*keys, (F.sum("_held").over(order) - F.col("_held")).alias("_before")), "slices")
+    began = F.col("copy") * F.col("_of") + F.col("_before")
+    placed = taken.join(sums, keys).where((began < F.col("_budget")) | (F.col("copy") == 0))
+    within = Window.partitionBy(*keys).orderBy("turn", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("start", began + F.sum("tokens").over(within) - F.col("tokens"))
     placed = placed.where("start < _budget or (copy = 0 and (_of = 0 or tokens = 0))")
     share = F.greatest(F.col("weight") * block_tokens, F.lit(1.0))
     return placed.select(

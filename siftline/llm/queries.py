@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"), repeat_limit=REPEAT_LIMIT)
+    mixed = mix_sources(table(spark, sf_dir, "documents"), repeat_limit=REPEAT_LIMIT, keep=["doc_id", "source"])
     return mixed.select("doc.doc_id", "doc.source", "copy", "tokens", "start", "block", "turn", "weight")
 
 
