@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.common import text_in
+from siftline.llm.common import small_batches, text_in
 from siftline.session import materialize
 
 UNKNOWN = "und"
@@ -165,6 +165,7 @@ def identify(df: DataFrame, e: Evidence, keep: list[str] | None = None) -> DataF
     empty table gives an empty one. Counts per host are sums with map-side
     combine, and the driver only sees numbers per language and gram.
     """
+    small_batches(df)
     names, count = e.languages, len(e.languages)
     label = declared(F.col(e.markup), names) if e.markup else F.lit(None).cast("string")
     model = fit_text(df, text_in(e.text), label, names)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from siftline.llm.common import id_in, id_out, parts_for, text_in
+from siftline.llm.common import id_in, id_out, parts_for, small_batches, text_in
 from siftline.session import materialize
 
 END = 0
@@ -34,7 +34,7 @@ class WordTokenizer:
     go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_words: int = 1 << 17) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.most_words = most_words
@@ -85,6 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bo
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of the worker's earlier tasks
         tok = _tokenizer(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -96,6 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bo
                         out.append((doc, piece, i // 4, len(cut) // 4, zlib.crc32(cut)) + (cut,) * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
+    small_batches(docs)
     rows = docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"))
     return rows.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm.common import id_in, id_out, text_in
+from siftline.llm.common import id_in, id_out, small_batches, text_in
 from siftline.llm.components import connected_components
 from siftline.session import materialize
 
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 fps = np.array([simhash(t.as_py(), words) for t in part.column(1)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
 
+    small_batches(docs)
     rows = docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 

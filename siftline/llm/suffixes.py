@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm.common import id_in, id_out, parts_for, text_in, total_bytes
+from siftline.llm.common import id_in, id_out, parts_for, small_batches, text_in, total_bytes
 
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 17
@@ -437,6 +437,7 @@ def remove_repeats(
     suffixes that fall into a part; copies of a passage fall together in
     their chunks, whatever their number.
     """
+    small_batches(docs)
     w = Windows(length)
     named = docs.select(
         id_in("doc_id").alias("doc_id"), text_in().alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
