@@ -116,6 +116,72 @@ def dedup_matches_equal_text(t: Tables) -> DataFrame:
     return _details(t, EXACT)
 
 
+# Matches of different texts, on listings short enough for the distance in SQL.
+
+
+def _short(threshold: float) -> dict[str, str]:
+    return {
+        **SCORES,
+        "nk": _keys("short_listings", "pos"),
+        "sk": _keys("short_stored", "seq"),
+        "met": """SELECT k.pos, s.seq, k.tx AS xa, s.tx AS xb, e.company_score, t.title_score FROM nk k JOIN title_scores t ON t.ta = k.nt
+ JOIN sk s ON s.nt = t.tb JOIN company_scores e ON e.ca = k.nc AND e.cb = s.nc""",
+        "compared": f"SELECT *, {S.ratio('xa', 'xb')} AS description_score FROM met",
+        "short_firsts": f"""SELECT pos, seq, company_score, title_score, description_score FROM compared
+ WHERE description_score >= {threshold} QUALIFY row_number() OVER (PARTITION BY pos ORDER BY seq) = 1""",
+    }
+
+
+SHORT_FIRST = """SELECT pos, seq AS matched_seq, round(company_score, 6) AS company_score, round(title_score, 6) AS title_score,
+ round(description_score, 6) AS description_score FROM short_firsts"""
+LOW = D.Thresholds(50, 80, 85)
+
+
+@query(SHORT_FIRST, **_short(95))
+def first_match_short(t: Tables) -> DataFrame:
+    return _rounded(D.find_matches(t.short_listings, t.short_stored, THRESHOLDS), "pos", "matched_seq")
+
+
+@query(SHORT_FIRST, **_short(85))
+def first_match_short_85(t: Tables) -> DataFrame:
+    return _rounded(D.find_matches(t.short_listings, t.short_stored, LOW), "pos", "matched_seq")
+
+
+@query(
+    "SELECT pos, title, company, description FROM short_listings WHERE pos NOT IN (SELECT pos FROM short_firsts)", **_short(95)
+)
+def dedup_new_short(t: Tables) -> DataFrame:
+    return D.deduplicate(t.short_listings, t.short_stored, THRESHOLDS)[0].select("pos", "title", "company", "description")
+
+
+@query(
+    """SELECT f.pos, s.company AS matched_company, s.title AS matched_title, s.description AS matched_description, s.url AS matched_url,
+ '2026-01-01' AS matched_first_seen, round(f.company_score, 6) AS company_score, round(f.title_score, 6) AS title_score,
+ round(f.description_score, 6) AS description_score FROM short_firsts f JOIN short_stored s ON s.seq = f.seq""",
+    **_short(85),
+)
+def dedup_matches_short_85(t: Tables) -> DataFrame:
+    return _rounded(
+        D.match_details(D.find_matches(t.short_listings, t.short_stored, LOW), t.short_stored),
+        "pos", "matched_company", "matched_title", "matched_description", "matched_url", "matched_first_seen",
+    )
+
+
+@query(
+    f"""SELECT nid, sid, round(description_score, 6) AS description_score FROM (SELECT *, {S.ratio('xa', 'xb')} AS description_score FROM
+ (SELECT a.nid, b.sid, a.tx AS xa, b.tx AS xb FROM (SELECT tx, min(pos) AS nid FROM nk GROUP BY tx) a
+ JOIN (SELECT tx, min(seq) AS sid FROM sk GROUP BY tx) b ON abs(length(a.tx) - length(b.tx)) <= 6 AND a.tx <> b.tx) q) r
+ WHERE description_score >= 95""",
+    **_short(95),
+)
+def verify_text_short(t: Tables) -> DataFrame:
+    """Pairs of different short texts that reach the threshold."""
+    new = D.distinct_texts(D.with_keys(t.short_listings), "pos", "nid")
+    stored = D.distinct_texts(D.with_keys(t.short_stored), "seq", "sid")
+    found = D.similar_texts(new, stored, 95)
+    return found.select("nid", "sid", F.round("description_score", 6).alias("description_score"))
+
+
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 
 

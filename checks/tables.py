@@ -20,10 +20,10 @@ DERIVED = {
 SELECT doc_id AS pos, CAST(floor(doc_id / 25) AS BIGINT) AS page,
  CASE doc_id % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'hiring_cafe' ELSE 'remotive' END AS source,
  concat(upper(lang), CASE doc_id % 3 WHEN 0 THEN ' Data  Engineer.' WHEN 1 THEN ' Data Engineer II' ELSE ' Staff Data | Engineer' END) AS title,
- concat(d.source, CASE doc_id % 5 WHEN 0 THEN ' Inc.' WHEN 1 THEN ', LLC' WHEN 2 THEN ' Payments' WHEN 3 THEN ' Technologies Inc.' ELSE '' END) AS company,
+ concat(d.source, CASE CAST(floor(doc_id / 20) AS BIGINT) % 5 WHEN 0 THEN ' Inc.' WHEN 1 THEN ', LLC' WHEN 2 THEN ' Payments' WHEN 3 THEN ' Technologies Inc.' ELSE '' END) AS company,
  concat('City ', doc_id % 25) AS location,
  concat('https://jobs.example.com/view?currentJobId=', doc_id, '&ref=x') AS url,
- CASE doc_id % 8 WHEN 0 THEN '3 days ago' WHEN 1 THEN 'Reposted 2 weeks ago' WHEN 2 THEN '13 hours ago' WHEN 3 THEN '2mo ago'
+ CASE CAST(floor(doc_id / 4) AS BIGINT) % 8 WHEN 0 THEN '3 days ago' WHEN 1 THEN 'Reposted 2 weeks ago' WHEN 2 THEN '13 hours ago' WHEN 3 THEN '2mo ago'
   WHEN 4 THEN '3d ago' WHEN 5 THEN 'Just posted' WHEN 6 THEN '30+ days ago' ELSE '' END AS date_posted,
  text AS description
 FROM {documents} d""",
@@ -31,6 +31,18 @@ FROM {documents} d""",
     "stored": """
 SELECT l.pos AS seq, l.company, l.title, l.url, l.description, DATE '2026-01-01' AS first_seen
 FROM {listings} l JOIN {labels} b ON b.doc_id = l.pos""",
+    # Customers and suppliers as listings with short texts, which SQL can compare at any threshold.
+    "short_listings": """
+SELECT c_custkey AS pos, concat(c_mktsegment, ' Desk Inc.') AS company, concat('Analyst ', c_mktsegment) AS title,
+ concat('Reference ', lpad(CAST(c_custkey AS STRING), 9, '0'), ' for the ', c_mktsegment, ' desk of nation ', c_nationkey) AS description
+FROM {customer}""",
+    "short_stored": """
+SELECT s_suppkey AS seq, concat(segment, ' Desk, LLC') AS company, concat('Senior Analyst ', segment) AS title,
+ concat('https://jobs.example.com/view?currentJobId=', s_suppkey) AS url,
+ concat('Reference ', lpad(CAST(s_suppkey AS STRING), 9, '0'), ' for the ', segment, ' desk of nation ', s_nationkey) AS description,
+ DATE '2026-01-01' AS first_seen
+FROM (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD'
+ ELSE 'MACHINERY' END AS segment FROM {supplier}) s""",
     # The labels with dense positions.
     "numbered": "SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM {labels}",
     "blocks": """
