@@ -26,12 +26,16 @@ def statistics(text: Column) -> dict[str, Column]:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     count = F.size(words)
     per = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    repeated = F.regexp_replace(text, r"(?<!\S)(\S+)(?:\s+\1(?!\S))+", "$1")
+    # The characters of words that equal the word before them, with the gap between; a looping regex would recurse.
+    gaps = F.split(text, r"\S+")
+    again = F.zip_with(words, F.slice(words, 2, count), lambda w, after: F.when(w == after, F.char_length(after)))
+    again = F.zip_with(again, F.slice(gaps, 2, F.size(gaps)), lambda c, gap: F.coalesce(c + F.char_length(gap), F.lit(0)))
+    repeated = F.aggregate(again, F.lit(0), lambda x, y: x + y)
     return {
         "log_chars": F.log1p(n.cast("double")),
         "word_length": per(F.char_length(F.array_join(words, "")), count),
         "distinct_words": per(F.size(F.array_distinct(words)), count),
-        "repeats": per(n - F.char_length(repeated), n),
+        "repeats": per(repeated, n),
         "capitals": _share_gone(text, r"\p{Lu}+"),
         "digits": _share_gone(text, r"\p{Nd}+"),
         "signs": _share_gone(text, r"[^\p{L}\p{Nd}\s.,;:'\"()?-]+"),

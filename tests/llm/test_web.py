@@ -14,7 +14,7 @@ from checks.compare import connect, difference, spark_rows, sql_rows
 from siftline.llm import queries, sql
 from siftline.llm.embeddings import near_vectors, table_plan
 from siftline.llm.language import Evidence, identify
-from siftline.llm.quality import fit_rules, lasso_logistic, score_quality
+from siftline.llm.quality import fit_rules, lasso_logistic, score_quality, statistics
 from siftline.llm.urlfilter import filter_captures, validity
 from siftline.llm.warc import scan_warc, warc_round_trip, write_warc
 
@@ -128,6 +128,20 @@ def test_quality_edges(spark):
     assert score_quality(docs, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def test_repeats_of_long_texts(spark):
+    import re
+
+    texts = ["same " * 100_000, "- - - -" * 3000, "a a a b b a\n\na", " \t lead  lead x", "ab a ab ab", "x", "", " ", "é é\u00a0é é", "end end "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.repeats for r in df.select("doc_id", statistics(F.col("text"))["repeats"].alias("repeats")).collect()}
+    for i, text in enumerate(texts):
+        words = list(re.finditer(r"[^ \t\n\x0b\f\r]+", text))
+        gone = sum(b.end() - a.end() for a, b in zip(words, words[1:]) if a.group() == b.group())
+        assert abs(got[i] - gone / max(1, len(text))) < 1e-12, text[:20]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id bigint, quality int")
+    assert score_quality(df, labels).count() == len(texts)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((12, 16))
