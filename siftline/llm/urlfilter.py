@@ -20,19 +20,32 @@ def path_of(url: Column) -> Column:
 
 
 def url_keys(url: Column) -> Column:
-    """What list entries can name a URL by: its domains, host, first directory, and the address without query."""
-    host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-        lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")),
+    """What list entries can name a URL by: its domains, host, directories, and the address without query.
+
+    Domains are the suffixes of the host by labels, without the last label alone unless it is the
+    host. Directories are the root and every prefix of the path by segments, each with and
+    without a slash at its end.
+    """
+    parts = F.struct(
+        host_of(url).alias("host"), path_of(url).alias("path"),
+        F.split(host_of(url), r"\.").alias("labels"), F.split(path_of(url), "/").alias("steps"),
     )
-    first = F.regexp_extract(path, r"^(/[^/]*)", 1)
-    return F.when(host != "", F.concat(domains, F.array(
-        F.struct(F.lit("host").alias("kind"), host.alias("pattern")),
-        F.struct(F.lit("prefix").alias("kind"), F.concat(host, first).alias("pattern")),
-        F.struct(F.lit("url").alias("kind"), F.concat(host, path).alias("pattern")),
-    )))
+
+    def keys(u: Column) -> Column:
+        labels, steps = u["labels"], u["steps"]
+        named = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"))
+        domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(u["host"], F.array_join(F.slice(steps, 1, i), "/")))
+        # The last step is no directory unless it is the root of an address without a path.
+        inner = F.slice(prefixes, 1, F.greatest(F.size(steps) - 1, F.lit(1)))
+        prefixes = F.array_distinct(F.concat(prefixes, F.transform(inner, lambda p: F.concat(p, F.lit("/")))))
+        return F.when(u["host"] != "", F.concat(
+            F.transform(domains, lambda d: named("domain", d)), F.transform(prefixes, lambda p: named("prefix", p)),
+            F.array(named("host", u["host"]), named("url", F.concat(u["host"], u["path"]))),
+        ))
+
+    # Bound to a lambda, the parts are worked out once a URL.
+    return F.element_at(F.transform(F.array(parts), keys), 1)
 
 
 def validity(entries: DataFrame) -> DataFrame:

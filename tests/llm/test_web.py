@@ -87,6 +87,20 @@ def test_url_lists(spark):
     assert none.count() == len(captures) and none.where("blocked").count() == 0
 
 
+def test_url_lists_of_all_depths(spark):
+    day = dt.date(2024, 1, 1)
+    patterns = [("prefix", p) for p in ("c.org/x/y", "c.org/x/y/", "c.org/x/y/z/w", "d.org/", "e.org/a/")] + [("domain", "example"), ("domain", "b.test")]
+    entries = spark.createDataFrame([("l", *p, "add", day) for p in patterns], "list string, kind string, pattern string, action string, day date")
+    urls = {
+        "http://c.org/x/y/z": 2, "http://c.org/x/y/z/w/v?q": 3, "http://c.org/x/yy": 0, "http://c.org/x": 0, "http://c.org/x/y": 1,
+        "http://d.org/p/q/r": 1, "http://d.org": 1, "http://d.org/": 1, "http://e.org/a": 0, "http://e.org/a/": 1, "http://e.org/a/b": 1,
+        "http://x.b.example/p": 0, "http://example/p": 1, "http://a.x.b.test/p": 1, "http://b.test.org/p": 0,
+    }
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id bigint, url string, day date")
+    got = {r.page_id: r.n_entries for r in filter_captures(captures, entries).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def test_language(spark):
     en = "the quick thing that was with them and then there thought through "
     fr = "les choses que nous avons dans cette ville où elle était pour toujours "
