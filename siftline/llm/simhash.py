@@ -35,19 +35,20 @@ def simhash(text: str, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) per row of ``docs``; null and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``keep`` per row of ``docs``; null and blank texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fps = np.array([simhash(t.as_py(), words) for t in part.column(1)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *part.columns[2:]], ["doc_id", "fp", *keep])
 
     small_batches(docs)
-    rows = docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"), *keep)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint" + kinds)
 
 
 def _linker(max_bits: int):
@@ -108,6 +109,15 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return lists.select("free", "fps").mapInArrow(_linker(max_bits), "a bigint, b bigint").distinct()
 
 
+def _components(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, component) per fingerprint of ``rows`` (doc_id, fp); least is its smallest doc_id."""
+    known = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = connected_components(links(known, max_bits))
+    return known.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs`` (doc_id, text).
 
@@ -119,11 +129,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFr
     are compared, so copies cost one row in the index.
     """
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    known = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(links(known, max_bits))
-    group = known.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    group = _components(rows, max_bits)
     ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
     of = group.join(ids, "component").select("fp", "component_id")
     return rows.join(of, "fp").select(
@@ -132,8 +138,19 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFr
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its SimHash group; one row of each id, with the smallest text."""
-    groups = simhash_groups(docs, words, max_bits).where("doc_id <=> component_id")
-    kept = docs.join(groups.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.groupBy("doc_id").agg(F.min_by(row, text_in()).alias("_row")).select("_row.*")
+    """One row of ``docs`` per SimHash group: that with the smallest doc_id, of these that with the smallest text.
+
+    Rows of different groups stay, also under one id or without one. Rows meet their group by
+    id and SHA-256 of the text, as an id may stand in several groups.
+    """
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_in("doc_id").alias("doc_id"),
+        text_in().alias("text"), F.unhex(F.sha2(text_in().cast("binary"), 256)).alias("digest"),
+    )
+    rows = materialize(fingerprints(own, words, keep=("digest",)), "fingerprints")
+    group = _components(rows, max_bits)
+    ids = group.groupBy("component").agg(F.min("least").alias("doc_id"))
+    of = group.join(ids, "component").select("fp", "component", "doc_id")
+    first = rows.join(of, ["fp", "doc_id"]).select("component", "doc_id", "digest").distinct()
+    kept = own.join(first, ["doc_id", "digest"])
+    return kept.groupBy("component").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row")).select("row.*")

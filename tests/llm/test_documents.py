@@ -81,6 +81,15 @@ def test_simhash_groups(docs, nothing):
     assert keep_one(nothing).count() == 0
 
 
+def test_keep_one_of_equal_ids(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(30)]
+    rows = [(None if i % 3 else 5, t, "en", "s", 1, 1, i, 3, "r") for i, t in enumerate(texts)]
+    copies = [(9, *r[1:]) for r in rows] + [(8, texts[0] + " ", *rows[0][2:]), rows[3], rows[4]]
+    kept = keep_one(spark.createDataFrame(rows + copies, SCHEMA).repartition(3))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_simhash_links_two_bits(spark):
     from siftline.llm.simhash import links
 
