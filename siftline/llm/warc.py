@@ -21,7 +21,7 @@ BASE32_HEX = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 CANDIDATE = (
     "path string, block bigint, rel bigint, seen bigint, size bigint, leave bigint, body bigint, http boolean, "
-    "record_type string, record string, refers_to string, uri string, payload_bytes bigint, payload_digest string"
+    "record_type string, record string, refers_to string, uri string, named_digest string, payload_bytes bigint, payload_digest string"
 )
 
 
@@ -99,6 +99,7 @@ def _candidate(segment: bytes, rel: int, seen: int) -> dict:
     out["size"] = len(MAGIC) + out["body"] + int(fields["content-length"]) + len(CLOSE)
     out["record_type"], out["record"] = fields.get("warc-type"), fields.get("warc-record-id")
     out["refers_to"], out["uri"] = fields.get("warc-refers-to"), fields.get("warc-target-uri")
+    out["named_digest"] = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     if out["size"] == seen and segment.endswith(CLOSE):
         payload = payload_of(segment, out["body"], out["http"])
         out["payload_bytes"], out["payload_digest"] = len(payload), _digest(payload)
@@ -169,8 +170,8 @@ def _on_chain(table: pa.Table) -> pa.Table:
 def scan_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives below ``path``, without their payloads.
 
-    Columns: path, at, size, record_type, record, refers_to, uri, payload_bytes,
-    payload_digest. Archives are read in blocks of any size, cut at every magic.
+    Columns: path, at, size, record_type, record, refers_to, uri, named_digest (the header's),
+    payload_bytes, payload_digest (of the payload itself). Archives are read in blocks of any size, cut at every magic.
     Each task emits its candidates with the offset of their successors and where the
     chain of successors leaves the block; jumping along those exits, doubling the
     jump each round, gives the entry of every block from the start of its file, and only
@@ -206,7 +207,7 @@ def scan_warc(spark: SparkSession, path: str) -> DataFrame:
     chained = found.join(entries, ["path", "block"])
     records = materialize(chained.groupBy("path", "block").applyInArrow(_on_chain, chained.schema), "records")
     records = records.withColumn("at", F.col("base") + F.col("rel"))
-    columns = ["path", "at", "size", "record_type", "record", "refers_to", "uri", "payload_bytes", "payload_digest"]
+    columns = ["path", "at", "size", "record_type", "record", "refers_to", "uri", "named_digest", "payload_bytes", "payload_digest"]
     cut = records.where("seen < size")
     if cut.isEmpty():
         return records.select(*columns)
@@ -250,7 +251,8 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = N
     """Write ``pages`` as archives, read them back, and tell what each record holds.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to) per row;
-    figures of a revisit are its response's. An empty table gives an empty one. ``path`` is a new
+    figures of a revisit are those of the response that has the id it refers to and the digest it
+    names, as rows with one id, or without, are several responses. An empty table gives an empty one. ``path`` is a new
     folder that all executors share; unset, one in the shared scratch folder.
     """
     spark = pages.sparkSession
@@ -259,13 +261,14 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = N
     page = lambda name: F.regexp_extract(name, r"<urn:page:(-?\d+)>", 1).cast("bigint")
     records = scan_warc(spark, path)
     records = records.select(
-        page("record").alias("id"), page(F.nullif("refers_to", F.lit(""))).alias("first"), "record_type", "payload_bytes", "payload_digest"
+        page("record").alias("id"), page(F.nullif("refers_to", F.lit(""))).alias("first"), "record_type", "payload_bytes",
+        F.when(F.col("refers_to").isNull(), F.col("payload_digest")).otherwise(F.col("named_digest")).alias("digest"), "payload_digest",
     )
     records = materialize(records, "records")
-    wanted = records.where("first is not null").select("first").distinct()
-    told = records.where("first is null").join(wanted.withColumnRenamed("first", "id"), "id", "left_semi")
-    told = told.select(F.col("id").alias("first"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    return records.join(told.dropDuplicates(["first"]), "first", "left").select(
+    wanted = records.where("first is not null").select(F.col("first").alias("id"), "digest").distinct()
+    told = records.where("first is null").join(wanted, ["id", "digest"], "left_semi")
+    told = told.select(F.col("id").alias("first"), "digest", F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
+    return records.join(told.dropDuplicates(["first", "digest"]), ["first", "digest"], "left").select(
         id_out("id").alias("page_id"), F.coalesce("b", "payload_bytes").alias("payload_bytes"),
         F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", id_out("first").alias("refers_to"),
     )

@@ -48,6 +48,18 @@ def test_warc_round_trip(spark, least, split):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_warc_revisits_of_one_id(spark):
+    rows = [(i, None, html * 9, "b", "p", 1) for html in ("one", "three", "fifth") for i in (None, None, 7, 8)] + [(7, None, "own", "b", "p", 1), (9, None, "own", "b", "p", 1)]
+    got = warc_round_trip(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    want = []
+    for r in rows:
+        first = 7 if r[2] == "own" else None
+        told = r[0] is not None and r[0] != first
+        digest = base64.b32encode(hashlib.sha1(r[2].encode()).digest()).decode()
+        want.append((r[0], len(r[2]), digest, "revisit" if told else "response", first if told else None))
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_warc_of_nothing_and_broken(spark, tmp_path):
     assert warc_round_trip(spark.createDataFrame([], PAGES)).count() == 0
     path = str(tmp_path / "w")
