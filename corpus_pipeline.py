@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm.language import Evidence, identify
 from siftline.llm.mixing import mix_sources
-from siftline.llm.packing import pack_documents
+from siftline.llm.packing import pack_documents, token_counts
 from siftline.llm.queries import MAX_BITS, REPEAT_BYTES, REPEAT_LIMIT, SEQUENCE, SHINGLE, TOKENIZER, table
 from siftline.llm.simhash import keep_one
 from siftline.llm.suffixes import remove_repeats
@@ -39,7 +39,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for, each at least once."""
-    return mix_sources(docs, repeat_limit=REPEAT_LIMIT).select("doc.*")
+    return mix_sources(docs, repeat_limit=REPEAT_LIMIT, tokens=token_counts(F.col("text"), TOKENIZER)).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

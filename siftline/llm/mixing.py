@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.llm.common import id_in, text_in
+from siftline.llm.common import id_in, small_batches, text_in
 from siftline.session import materialize
 
 SLICE_ROWS = 4096
@@ -82,6 +82,8 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` (doc_id, text, source, …) mixed to weights proportional to source tokens ^ exponent.
 
+    ``tokens`` counts the tokens of a row; unset, four bytes of the text are a token.
+
     Each row of the result has the columns ``keep`` of ``docs`` (all by default) in struct ``doc``, and copy (0, 1, …),
     tokens, start (the tokens of its source before it), block and turn. A source with weight w
     takes w * budget tokens: whole permuted passes as long as they fit, then the start of one
@@ -106,6 +108,9 @@ def mix_sources(
         F.coalesce(F.concat(F.lit("of "), F.col("source").cast("string")), F.lit("")).alias("_source"),
         size.alias("tokens"), id_in("doc_id").alias("_id"), F.xxhash64(id_in("doc_id"), F.col("text")).alias("_own"),
     )
+    if tokens is not None:  # counted once, as a tokenizer costs more than a copy of the rows
+        small_batches(docs)
+        rows = materialize(rows, "counted")
     sources = materialize(
         rows.groupBy("_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "sources"
     )

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from siftline.llm.common import id_in, id_out, parts_for, small_batches, text_in
@@ -102,6 +102,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bo
     return rows.mapInArrow(run, schema)
 
 
+def token_counts(text: Column, tokenizer: str) -> Column:
+    """Tokens of a text as ``token_pieces`` has them, the closing id included."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tok = _tokenizer(tokenizer)
+        for batch in batches:
+            yield pa.array([len(tok.ids(t.as_py() or "")) // 4 + 1 for t in batch], pa.int64())
+
+    return F.arrow_udf(run, "bigint")(text)
+
+
 class OpenBins:
     """At most ``most`` open bins; a bit per amount of free space tells which amounts some bin has."""
 

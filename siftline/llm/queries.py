@@ -11,7 +11,7 @@ from siftline.llm.embeddings import near_vectors
 from siftline.llm.language import Evidence, identify
 from siftline.llm.mixing import mix_sources
 from siftline.llm.multiset import edited_fingerprints
-from siftline.llm.packing import pack_documents
+from siftline.llm.packing import pack_documents, token_counts
 from siftline.llm.quality import score_quality
 from siftline.llm.simhash import simhash_groups
 from siftline.llm.suffixes import remove_repeats
@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"), repeat_limit=REPEAT_LIMIT, keep=["doc_id", "source"])
+    docs, tokens = table(spark, sf_dir, "documents"), token_counts(F.col("text"), TOKENIZER)
+    mixed = mix_sources(docs, repeat_limit=REPEAT_LIMIT, tokens=tokens, keep=["doc_id", "source"])
     return mixed.select("doc.doc_id", "doc.source", "copy", "tokens", "start", "block", "turn", "weight")
 
 

@@ -198,6 +198,17 @@ def test_sql(spark, name):
     assert ours[1] and difference(ours, sql_rows(connect(SF), sql.SQL[name])) is None
 
 
+@needs_tables
+def test_mixing_counts_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.TOKENIZER)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op1_mix_sources(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all(r.tokens == len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1 for r in rows)
+
+
 @needs_tables
 def test_quality_is_learnt(spark):
     scored = queries.op7_quality(spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet"), "doc_id")
