@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftline.llm.decontaminate import decontaminate
 from siftline.llm.embeddings import near_vectors
 from siftline.llm.language import Evidence, identify
 from siftline.llm.mixing import mix_sources
@@ -15,8 +16,10 @@ from siftline.llm.packing import pack_documents, token_counts
 from siftline.llm.quality import score_quality
 from siftline.llm.simhash import simhash_groups
 from siftline.llm.suffixes import remove_repeats
+from siftline.llm.trie import conversation_trie
 from siftline.llm.urlfilter import filter_captures, host_of, path_of
 from siftline.llm.warc import warc_round_trip
+from siftline.llm.whitening import whiten
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 2048
@@ -24,6 +27,8 @@ REPEAT_LIMIT = 1.25
 COSINE = 0.95
 REPEAT_BYTES = 50
 SHINGLE, MAX_BITS = 3, 2
+COMPONENTS = 8
+WINDOW, GRAM = 10, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,10 +103,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), COMPONENTS)
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW, GRAM)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_warc, op3_language_id, op4_multiset_hash, op5_url_filter, op6_pack, op7_quality,
-        op8_near_vectors, op9_suffix_dedup, op10_simhash, language_of_pages,
+        op8_near_vectors, op9_suffix_dedup, op10_simhash, op11_conversation_trie, op12_whitening, op13_decontaminate,
+        language_of_pages,
     )
 }
