@@ -65,4 +65,46 @@ SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
  coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN e IS NULL THEN h ELSE rest || substr(h, CAST(2 * e + 1 AS BIGINT)) END)) AS kept_sha256
 FROM d LEFT JOIN told USING (doc_id)"""
 
-SQL = {"op2_warc": WARC, "op5_url_filter": URLS, "op8_near_vectors": VECTORS, "op9_suffix_dedup": REPEATS}
+TRIE = r"""
+WITH crc AS (SELECT conv_id, xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+   lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+   lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, CAST(4294967295 AS BIGINT)),
+   CAST(4294967295 AS BIGINT)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST) AS t FROM conversations GROUP BY conv_id),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.t, [])[1:h], o.t[h + 1:]) AS t
+ FROM crc c JOIN own o USING (conv_id) LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+keyed AS (SELECT conv_id, t, list_transform(range(len(t) + 1), lambda d: sha256(CAST(t[1:d] AS VARCHAR))) AS k FROM built),
+steps AS (SELECT conv_id, k[d + 1] AS key, k[d] AS up, d AS depth, len(t) AS size,
+  CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(t[d][2], '[^\x20\x09-\x0D]+')) END AS words
+ FROM keyed, unnest(range(len(t) + 1)) AS u(d)),
+nodes AS (SELECT key, any_value(up) AS up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+ FROM steps GROUP BY key, depth),
+family AS (SELECT up, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+above AS (SELECT DISTINCT s.key, a.key AS top FROM steps s JOIN steps a ON a.conv_id = s.conv_id AND a.depth <= s.depth),
+sums AS (SELECT top, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE f.n IS NULL) AS leaves
+ FROM above JOIN nodes USING (key) LEFT JOIN family f ON f.up = key GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n, 0) AS n_children, leaves AS n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums ON top = n.key LEFT JOIN nodes p ON p.key = n.up AND n.depth > 0 LEFT JOIN family f ON f.up = n.key"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+known AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM b, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE n > 0),
+asked AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+ FROM d, (SELECT DISTINCT n FROM known), unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT DISTINCT doc_id, item_id, n, i FROM asked JOIN known USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n FROM hits, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+ FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+ sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+SQL = {
+    "op2_warc": WARC, "op5_url_filter": URLS, "op8_near_vectors": VECTORS, "op9_suffix_dedup": REPEATS,
+    "op11_conversation_trie": TRIE, "op13_decontaminate": LEAKS,
+}
