@@ -15,55 +15,160 @@ from siftline.llm.common import id_in, id_out, parts_for, small_batches, text_in
 from siftline.session import materialize
 
 END = 0
-# The tokenizer's own word rule for texts within Latin-1, after lower-casing.
-_LETTERS, _DIGITS, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
+SEGMENT = 1 << 19
 
+# The tokenizer's own word rule for texts within Latin-1, after lower-casing: classes of characters by their UTF-8 bytes.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_LETTERS, _DIGITS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+_ENDINGS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+
+
+def _classes(codes: range) -> np.ndarray:
+    kind = lambda c: next((k for k, r in ((_SPACE, _SPACES), (_LETTER, _LETTERS), (_DIGIT, _DIGITS)) if re.match(f"[{r}]", c)), _OTHER)
+    return np.array([kind(chr(c)) for c in codes], np.uint8)
+
+
+_ONE = np.r_[_classes(range(0x80)), np.full(0x80, _OTHER, np.uint8)]
+_TWO = _classes(range(0x80, 0x100)).reshape(2, 64)  # behind the lead bytes 0xC2 and 0xC3
+_GAP = re.compile(rb"[ \t-\r]")
 
 # Byte-level alphabet: printable Latin-1 bytes are themselves, the others follow after 255 in order.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _HIDDEN = [b for b in range(0x100) if b not in _SHOWN]
 _ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(_HIDDEN)}
 
+_VALUE = np.random.default_rng(6).integers(1, 2**64, 256, np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words:
+    """The words of UTF-8 ``data`` within Latin-1, with a 64-bit hash of each; a zero byte stands between texts."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        upper = (data >= 0x41) & (data <= 0x5A)
+        self.data = data = np.where(upper, data + 0x20, data).astype(np.uint8)
+        cls, first = _ONE[data], np.ones(len(data), bool)
+        cls[data == 0] = _SPACE
+        lead = np.flatnonzero(data >= 0xC2)
+        after = data[lead + 1]
+        capital = (data[lead] == 0xC3) & (after <= 0x9E) & (after != 0x97)
+        data[lead[capital] + 1] += 0x20
+        cls[lead] = cls[lead + 1] = _TWO[data[lead] - 0xC2, data[lead + 1] - 0x80]
+        first[lead + 1] = False
+        starts = cls != _SPACE
+        starts[1:] &= (cls[1:] != cls[:-1]) | ((cls[1:] == _DIGIT) & first[1:])
+        self._endings(cls, starts)
+        at = np.flatnonzero(cls != _SPACE)
+        begin = np.flatnonzero(starts[at])
+        size = np.diff(np.r_[begin, len(at)])
+        self.start, self.size = at[begin], size
+        self.hash = np.zeros(0, np.uint64)
+        if len(at):
+            powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max()) - 1, _BASE)])
+            place = np.arange(len(at)) - np.repeat(begin, size)
+            self.hash = np.add.reduceat(_VALUE[data[at]] * powers[place], begin) + size.astype(np.uint64)
+
+    def _endings(self, cls: np.ndarray, starts: np.ndarray) -> None:
+        """An apostrophe of its own takes the letters of an ending behind it."""
+        n = len(self.data)
+        at = np.flatnonzero((self.data == 0x27) & starts)
+        at = at[at + 1 < n]
+        left = np.ones(len(at), bool)
+        for ending in _ENDINGS:
+            letters = ending[1:].encode()
+            fits = left & (at + len(letters) < n)
+            for i, letter in enumerate(letters, 1):
+                fits &= self.data[np.minimum(at + i, n - 1)] == letter
+            left &= ~fits
+            starts[at[fits] + 1] = False
+            behind = at[fits] + len(ending)
+            behind = behind[behind < n]
+            starts[behind[cls[behind] == _LETTER]] = True
+
+    def words(self, which: np.ndarray) -> list[str]:
+        raw = self.data.tobytes()
+        return [raw[a:b].decode() for a, b in zip(self.start[which].tolist(), (self.start + self.size)[which].tolist())]
+
 
 class WordTokenizer:
     """A byte-level word BPE that tokenises every different word once.
 
     Words never join in this kind of tokenizer, so the ids of a text are those of
     its words in turn. Texts beyond Latin-1, or with a special token's brackets,
-    go through the tokenizer whole.
+    go through the tokenizer whole. The ids of ``most_words`` words at most are remembered by their hash; then all are forgotten.
+    Two different words have one hash of 64 bits, and so one of them wrong ids, about once in 10^13 words.
     """
 
-    def __init__(self, path: str, most_words: int = 1 << 17) -> None:
+    def __init__(self, path: str, most_words: int = 1 << 19) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.most_words = most_words
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.begin, self.many = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        model = self.tokenizer.model
-        for w in words:
+    def _learn(self, words: Words, hashes: np.ndarray, examples: np.ndarray) -> None:
+        tokenize, found = self.tokenizer.model.tokenize, []
+        for w in words.words(examples):
             spelled = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_ALPHABET)
-            self.known[w] = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+            found.append([t.id for t in tokenize(spelled)])
+        many = np.array(list(map(len, found)), np.int64)
+        begin = len(self.pool) + np.cumsum(many) - many
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.begin, self.many = (np.insert(old, at, new) for old, new in ((self.keys, hashes), (self.begin, begin), (self.many, many)))
+        self.pool = np.concatenate([self.pool, np.fromiter((i for f in found for i in f), "<u4", int(many.sum()))])
+
+    def _places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in the pool, and how many they are."""
+        hashes, examples, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        known = np.isin(hashes, self.keys, assume_unique=True)
+        if len(self.keys) + (~known).sum() > self.most_words:
+            self._clear()
+            known[:] = False
+        self._learn(words, hashes[~known], examples[~known])
+        at = np.searchsorted(self.keys, hashes)
+        return self.begin[at][back], self.many[at][back]
+
+    def batch(self, texts: list[bytes], with_ids: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The number of ids of each text, and with ``with_ids`` the ids as little-endian 32-bit numbers."""
+        counts, parts = np.zeros(len(texts), np.int64), [[] for _ in texts]
+        waiting, size = [], 0
+
+        def flush() -> None:
+            words = Words(np.frombuffer(b"\0".join([t for _, t in waiting]), np.uint8))
+            begin, many = self._places(words)
+            cuts = np.cumsum([0, *[len(t) + 1 for _, t in waiting]])
+            upto = np.r_[0, np.cumsum(many)][np.searchsorted(words.start, cuts)]
+            ids = self.pool[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())] if with_ids else None
+            for (text, _), a, b in zip(waiting, upto, upto[1:]):
+                counts[text] += b - a
+                if with_ids:
+                    parts[text].append(ids[a:b])
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            beyond = not text.isascii() and (np.frombuffer(text, np.uint8) >= 0xC4).any()
+            if beyond or b"<|" in text or b"\0" in text:
+                ids = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+                counts[i], parts[i] = len(ids), [ids]
+                continue
+            at = 0
+            while at < len(text):  # long texts in segments, cut between words
+                cut = _GAP.search(text, at + SEGMENT)
+                end = cut.end() if cut else len(text)
+                waiting.append((i, text[at:end]))
+                size, at = size + end - at, end
+                if size >= SEGMENT:
+                    flush()
+                    size = 0
+        if waiting:
+            flush()
+        return counts, [np.concatenate(p) if p else np.empty(0, "<u4") for p in parts] if with_ids else []
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
-        try:
-            text.encode("latin-1")
-            plain = "<|" not in text
-        except UnicodeEncodeError:
-            plain = False
-        if not plain:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _WORD.findall(text.lower())
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in self.known}
-            if len(self.known) + len(new) > self.most_words:
-                self.known.clear()
-                new = set(words)
-            self._learn(new)
-            return b"".join([self.known[w] for w in words])
+        return self.batch([text.encode()])[1][0].tobytes()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -90,8 +195,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bo
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = tok.ids(text.as_py()) + np.array([END], "<u4").tobytes()
+                _, found = tok.batch(part.column(1).cast(pa.binary()).to_pylist())
+                for doc, ids in zip(part.column(0).to_pylist(), found):
+                    ids = ids.tobytes() + np.array([END], "<u4").tobytes()
                     for piece, i in enumerate(range(0, len(ids), 4 * size)):
                         cut = ids[i : i + 4 * size]
                         out.append((doc, piece, i // 4, len(cut) // 4, zlib.crc32(cut)) + (cut,) * with_ids)
@@ -108,7 +214,8 @@ def token_counts(text: Column, tokenizer: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _tokenizer(tokenizer)
         for batch in batches:
-            yield pa.array([len(tok.ids(t.as_py() or "")) // 4 + 1 for t in batch], pa.int64())
+            counts = [tok.batch([t or b"" for t in batch.slice(at, 256).cast(pa.binary()).to_pylist()], False)[0] + 1 for at in range(0, len(batch), 256)]
+            yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
 
