@@ -16,8 +16,10 @@ selective one that a join key can express, the description:
    all p-grams of the new texts finds it (pigeonhole principle, as in Pass-Join,
    Li et al., VLDB 2011). The counted pieces then filter before any text is
    compared.
-3. For low thresholds no such p exists. Texts then meet in an equi-join on a
-   length band, and only pairs with similar titles leave that join.
+3. For low thresholds no such p exists: a text of n characters has at most n / 3
+   pieces of three, and 0.3 n edits at 85. The other two conditions come first then:
+   similar (company, title) forms are looked up in an index of the title
+   dictionary, and texts meet in an equi-join on such forms and a length band.
 
 Copies of a text are collapsed to one before 1-3. No step is approximate.
 """
@@ -186,27 +188,35 @@ def similar_titles_possible(a: Column, b: Column, threshold: float) -> Column:
 
 
 def _band(length: Column, ratio: float) -> Column:
-    """Number of the length band; bands are as wide as a match may stretch, 0 is the empty text."""
+    """Number of the length band; bands are as wide as a match may stretch, -1 is the empty text."""
+    if ratio == 1:
+        return F.when(length == 0, -1).otherwise(length).cast("int")
     base = math.log(ratio) * (1 + 1e-9)
     return F.when(length == 0, -1).otherwise(F.floor(F.ln(length.cast("double")) / base)).cast("int")
 
 
-def _pairs_by_length(new: DataFrame, stored: DataFrame, thresholds: Thresholds) -> DataFrame:
-    """(new tuple, stored tuple) with compatible lengths and titles, for low thresholds."""
+def _pairs_by_forms(new: DataFrame, stored: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """(new tuple, stored tuple, both scores) with similar titles and companies and compatible lengths, for low thresholds.
+
+    Titles and companies are compared in their dictionaries. Texts then meet by an
+    equi-join on forms that passed and a length band, so no pair of rows is looked at
+    whose titles or companies differ.
+    """
+    forms = similar_forms(
+        new.select("n_company", "n_title").distinct(), stored.select("s_company", "s_title").distinct(), thresholds
+    )
     ratio = _length_ratio(thresholds.description)
-    titles = similar_titles_possible(F.col("n_sorted"), F.col("s_sorted"), thresholds.title)
     if ratio == math.inf:
-        band, bands = F.lit(0), F.array(F.lit(0))
-        lengths = F.lit(True)
+        band, bands, lengths = F.lit(0), F.array(F.lit(0)), F.lit(True)
     else:
         band = _band(F.col("s_len"), ratio)
         own = _band(F.col("n_len"), ratio)
         bands = F.when(own == -1, F.array(F.lit(-1))).otherwise(F.array(own - 1, own, own + 1))
         edits = _edits(thresholds.description, F.col("n_len"), F.col("s_len"))
         lengths = F.abs(F.col("n_len") - F.col("s_len")) <= edits
-    left = new.withColumn("_band", F.explode(bands))
+    left = new.join(forms, ["n_company", "n_title"]).withColumn("_band", F.explode(bands))
     right = stored.withColumn("_band", band)
-    return left.join(right, "_band").where(lengths & titles).drop("_band")
+    return left.join(right, ["s_company", "s_title", "_band"]).where(lengths).drop("_band")
 
 
 def _score_pairs(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
@@ -234,14 +244,18 @@ def _variants(keyed: DataFrame, order: str, prefix: str) -> DataFrame:
 def fuzzy_candidates(new: DataFrame, stored: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Pairs of distinct (company, title) of both sides that pass both thresholds.
 
-    Rows with equal normal forms are collapsed first; titles are compared once
-    per distinct pair, inside bands of compatible length.
+    Rows with equal normal forms are collapsed first. Titles meet in an index (see ``similar_titles``);
+    companies are compared once per distinct pair among the titles that passed.
     """
     side = lambda df, p: df.select(
         normalize_company(F.col("company")).alias(f"{p}company"),
         normalize_title(F.col("title")).alias(f"{p}title"),
     ).distinct()
-    ours, theirs = side(new, "n_"), side(stored, "s_")
+    return similar_forms(side(new, "n_"), side(stored, "s_"), thresholds)
+
+
+def similar_forms(ours: DataFrame, theirs: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """``fuzzy_candidates`` of distinct normal forms (n_company, n_title) and (s_company, s_title)."""
     titles = similar_titles(ours.select("n_title"), theirs.select("s_title"), thresholds.title)
     pairs = ours.join(titles, "n_title").join(theirs, "s_title")
     companies = pairs.select("n_company", "s_company").distinct().withColumn(
@@ -251,21 +265,86 @@ def fuzzy_candidates(new: DataFrame, stored: DataFrame, thresholds: Thresholds =
     return pairs.join(passed, ["n_company", "s_company"])
 
 
-def similar_titles(ours: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of distinct normal titles with their token-sorted score."""
+def _shared_grams(threshold: float, length: Column) -> Column:
+    """How many bigrams, repeats counted, a string of ``length`` shares at least with any match at ``threshold``.
+
+    With d characters deleted and i inserted, the bigrams of a fall by 2 d + i at most: of a pair with
+    lengths a and b there remain 3 LCS - a - b - 1, where LCS is t (a + b) / 2 at least. The shortest partner counts.
+    """
+    t = threshold / 100
+    shortest = F.ceil(length / _length_ratio(threshold) - 1e-9)
+    return F.ceil((1.5 * t - 1) * (length + shortest) - 1 - 1e-9)
+
+
+def _gram_keys(titles: DataFrame, sorted_: str, needed: Column, frequency: DataFrame) -> DataFrame:
+    """(``sorted_``, key): a key for every two of the rarest bigrams of a string.
+
+    Two strings that share s bigrams share two of the rarest n - s + 2 of either,
+    as both are in one order of frequency.
+    """
+    ranked = _grams(titles, sorted_).join(frequency, "g").groupBy(sorted_).agg(
+        F.sort_array(F.collect_list(F.struct("f", "g"))).alias("r")
+    )
+    rare = F.transform(F.slice("r", F.lit(1), (F.size("r") - needed + 2).cast("int")), lambda x: x["g"])
+    pairs = F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda y: F.xxhash64(x, y)))
+    return ranked.select(sorted_, F.explode(F.flatten(pairs)).alias("key")).distinct()
+
+
+def _grams(titles: DataFrame, sorted_: str) -> DataFrame:
+    """(``sorted_``, g): bigrams, the repeats of one told apart by a number."""
+    text = F.col(sorted_)
+    plain = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
+    numbered = F.transform(plain, lambda g, i: F.concat(g, (i - F.array_position(plain, g)).cast("string")))
+    return titles.select(sorted_, F.explode(numbered).alias("g"))
+
+
+def title_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (n_sorted, s_sorted) of distinct strings that may reach ``threshold``.
+
+    Strings that share two bigrams with any match, which is all but the shortest ones, meet in an inverted index: of each
+    string every two of its rarest bigrams, by their number in both dictionaries, are a key. How
+    rare is enough follows from how many any match must share. Pairs with a short
+    string meet by length, among strings of few characters.
+    """
+    n_needed, s_needed = (_shared_grams(threshold, F.length(c)) for c in ("n_sorted", "s_sorted"))
+    frequency = _grams(left, "n_sorted").select("g").union(_grams(right, "s_sorted").select("g")).groupBy("g").agg(F.count("*").alias("f"))
+    met = _gram_keys(left.where(n_needed >= 2), "n_sorted", n_needed, frequency).join(
+        _gram_keys(right.where(s_needed >= 2), "s_sorted", s_needed, frequency), "key"
+    )
+    # A string has one row per key; the pairs lose their repeats before anything is compared.
+    long = met.select("n_sorted", "s_sorted").distinct()
+    n_short, s_short = left.withColumn("_short", n_needed < 2), right.withColumn("_short", s_needed < 2)
+    near = _by_length(n_short, s_short, threshold).where(F.col("n_short") | F.col("s_short"))
+    return long.union(near.select("n_sorted", "s_sorted"))
+
+
+def _by_length(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of strings whose lengths may fit."""
     ratio = _length_ratio(threshold)
-    left = ours.distinct().withColumn("n_sorted", token_sort(F.col("n_title")))
-    right = theirs.distinct().withColumn("s_sorted", token_sort(F.col("s_title")))
     if ratio == math.inf:
         bands, band = F.array(F.lit(0)), F.lit(0)
     else:
         own = _band(F.length("n_sorted"), ratio)
         bands = F.when(own == -1, F.array(F.lit(-1))).otherwise(F.array(own - 1, own, own + 1))
         band = _band(F.length("s_sorted"), ratio)
-    met = left.withColumn("_band", F.explode(bands)).join(right.withColumn("_band", band), "_band")
-    possible = met.where(similar_titles_possible(F.col("n_sorted"), F.col("s_sorted"), threshold))
+    short = lambda df, p: df.withColumnRenamed("_short", f"{p}_short") if "_short" in df.columns else df
+    return short(left, "n").withColumn("_band", F.explode(bands)).join(short(right, "s").withColumn("_band", band), "_band")
+
+
+def similar_titles(ours: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of distinct normal titles with their token-sorted score.
+
+    At thresholds of two thirds or less no bigram needs to be shared, so all titles of fitting lengths are compared.
+    """
+    left = ours.distinct().withColumn("n_sorted", token_sort(F.col("n_title")))
+    right = theirs.distinct().withColumn("s_sorted", token_sort(F.col("s_title")))
+    n_words, s_words = left.select("n_sorted").distinct(), right.select("s_sorted").distinct()
+    indexed = 1.5 * threshold / 100 - 1 > 1e-6
+    met = title_pairs(n_words, s_words, threshold) if indexed else _by_length(n_words, s_words, threshold)
+    possible = met.where(similar_titles_possible(F.col("n_sorted"), F.col("s_sorted"), threshold)).select("n_sorted", "s_sorted")
     scored = possible.withColumn("title_score", indel_ratio(F.col("n_sorted"), F.col("s_sorted")))
-    return scored.where(F.col("title_score") >= threshold).select("n_title", "s_title", "title_score")
+    passed = scored.where(F.col("title_score") >= threshold)
+    return passed.join(left, "n_sorted").join(right, "s_sorted").select("n_title", "s_title", "title_score")
 
 
 def verify_text(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -320,10 +399,10 @@ def match_variants(new: DataFrame, stored: DataFrame, thresholds: Thresholds) ->
             )
             matches.append(_score_pairs(pairs, thresholds))
         else:
-            # Many pairs have a fitting length, so titles and companies come before the texts,
-            # and each pair of texts is compared once however many titles and companies it has.
-            pairs = _pairs_by_length(ours, theirs, thresholds).where(F.col("n_digest") != F.col("s_digest"))
-            scored = _score_pairs(pairs, thresholds).join(n_ids, "n_digest").join(s_ids, "s_digest")
+            # Titles and companies come before the texts, and each pair of texts
+            # is compared once however many titles and companies it has.
+            pairs = _pairs_by_forms(ours, theirs, thresholds).where(F.col("n_digest") != F.col("s_digest"))
+            scored = pairs.join(n_ids, "n_digest").join(s_ids, "s_digest")
             texts = _compare(
                 scored.select("nid", "sid").distinct(), new_texts, stored_texts, thresholds.description
             )

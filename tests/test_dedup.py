@@ -172,3 +172,33 @@ def test_tiers_leave_no_gap():
             edits = int(share * n + 1e-9)
             p = next((p for from_length, p in tiers if n >= from_length), None)
             assert (n // p > edits) if p else edits == 0, (threshold, n)
+
+
+@pytest.mark.parametrize("threshold", [60, 70, 80, 90, 100])
+def test_title_index_against_all_pairs(spark, threshold):
+    rng = random.Random(threshold)
+    words = ["data", "engineer", "senior", "ii", "a", "xx", "aaaa", "manager", "ëé", "of"]
+    titles = {"", "a", "ab", "aaaaaaaaaaaa", "aaaaaaaaaaab"}
+    for _ in range(150):
+        title = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        titles |= {title, changed(rng, title, 0.1).strip(), changed(rng, title, 0.25).strip()}
+    titles = sorted(titles)
+    ours, theirs = titles[::2], titles[1::2] + titles[:20]
+    frame = lambda rows, name: spark.createDataFrame([(t,) for t in rows], f"{name} string")
+    got = {(r.n_title, r.s_title): r.title_score for r in D.similar_titles(frame(ours, "n_title"), frame(theirs, "s_title"), threshold).collect()}
+    by_words = lambda t: " ".join(sorted(t.split()))
+    want = {(a, b): ratio(by_words(a), by_words(b)) for a in ours for b in theirs}
+    want = {k: v for k, v in want.items() if v >= threshold}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert len(want) >= 10
+
+
+def test_title_index_meets_few_strangers(spark):
+    """The index must not pair most titles of a dictionary with each other."""
+    made = {}
+    for n in (500, 2000):
+        rng = random.Random(n)
+        titles = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(n)]
+        frame = lambda name: spark.createDataFrame([(t,) for t in titles], f"{name} string")
+        made[n] = D.title_pairs(frame("n_sorted"), frame("s_sorted"), 80).count()
+    assert made[500] < 500 * 500 / 4 and made[2000] < 2000 * 2000 / 4

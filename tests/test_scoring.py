@@ -1,5 +1,7 @@
 """Answer parsing against a line-by-line reading, and whole batches."""
 
+import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -95,7 +97,24 @@ def test_scorer_order_in_conversations(spark, tmp_path):
         F.col("id").alias("pos"), *[F.lit("x").alias(k) for k in ("title", "company", "location", "date_posted", "url", "description")]
     )
     prompts = B.continuation_prompts(B.assign_batches(rows, 4), P.Profile(), 3)
-    kinds = {r.batch: r.prompt.startswith("Continue") for r in prompts.collect()}
-    assert [b for b, later in kinds.items() if not later] == [0, 1, 2] or sorted(b for b, later in kinds.items() if not later) == [0, 1, 2]
+    later = {r.batch: r.prompt.startswith(P.CONTINUATION) for r in prompts.collect()}
+    assert sorted(b for b, short in later.items() if not short) == [0, 1, 2]
     answered = B.score_batches(prompts, lambda prompt: str(len(prompt)))
     assert answered.count() == 10 and answered.where("error is not null").count() == 0
+    # A scorer that notes what it sees: each conversation's batches come in order, in one task.
+    log = tmp_path / "seen"
+    log.mkdir()
+    of = {r.prompt: (r.conversation, r.batch) for r in prompts.withColumn("prompt", F.concat("prompt", "batch")).collect()}
+
+    def note(prompt):
+        with open(log / str(os.getpid()), "a") as f:
+            f.write(json.dumps(prompt) + "\n")
+        return ""
+
+    B.score_batches(prompts.withColumn("prompt", F.concat("prompt", "batch")), note, tasks=4).collect()
+    seen = [[of[json.loads(line)] for line in open(f)] for f in log.iterdir()]
+    assert sorted(sum(seen, [])) == sorted(of.values())
+    for conversation in range(3):
+        where = [[b for c, b in task if c == conversation] for task in seen]
+        (own,) = [b for b in where if b]
+        assert own == sorted(own) and own[0] == conversation
