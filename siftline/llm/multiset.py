@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.llm.common import NO_ID, id_in, id_out, text_in
+from siftline.llm.common import id_in, id_out, parts_for, text_in
 from siftline.session import materialize
 
 # Every lane is a sum modulo 2^60, so adding two of them stays within a long.
@@ -18,7 +18,7 @@ FIELD_MASK = 2**FIELD - 1
 TAKEN = 1 | 1 << FIELD | 1 << 2 * FIELD
 VIEWS = 2
 LANES = 1 + DENSE + VIEWS * FIELD
-BUCKET_ROWS = 1024
+BUCKET_ROWS, MOST_BUCKETS, START_CHARS = 8192, 1 << 14, 32
 # A paragraph ends with its line, or with a sentence, as many texts have one line only.
 PARAGRAPH_END = r"[\r\n]+|(?<=[.!?])[ \t]+"
 
@@ -46,7 +46,8 @@ def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
     Lane 0 counts paragraphs, the next DENSE sum whole hashes, and the others hold
     three fields of 20 bits each, which count the paragraphs that have a bit of
     their hash set. All are sums over paragraphs, so the order of paragraphs does
-    not matter and texts can be joined or parted by adding or subtracting lanes.
+    not matter and texts can be joined or parted by adding or subtracting lanes. Beyond 2^20 - 1 paragraphs
+    a field runs into the next one: lanes still are equal for equal multisets, but ``likeness`` no longer holds.
     """
     hashed = df.withColumn("_hashes", F.transform(paragraphs(F.col(text)), lambda p: F.xxhash64(p)))
     for k in range(VIEWS):
@@ -99,28 +100,27 @@ def likeness(a: str, b: str, signs_a: str, signs_b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id, text, …) with next_<column> of the next row by doc_id, then text; after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], add=lambda df: df) -> DataFrame:
+    """``docs`` (doc_id, text) after ``add``, with next_<column> of the next row by doc_id, then text; after the last comes the first.
 
-    Rows meet their neighbours in buckets of ids, and each bucket also gets the
-    first row of the next, so neither a global sort nor one task sees all rows.
-    Uneven ids make uneven buckets, which sort with spilling.
+    The rows are cut into ranges of (doc_id, start of the text) by sampled bounds, so ids may be anything: hashes, outliers or null.
+    Each range also gets the first row of the next, and rows meet their neighbours inside it; ``add`` sees a row only then. A range
+    holds about BUCKET_ROWS rows, more beyond MOST_BUCKETS ranges; rows of one id and one start of the text stay together.
     """
-    known = docs.where(F.col("doc_id") != NO_ID)
-    low, high, n = known.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, width = low or 0, max(1, ((high or 0) - (low or 0) + 1) * BUCKET_ROWS // max(1, n))
-    bucket = F.when(F.col("doc_id") == NO_ID, F.lit(-1)).otherwise(F.expr(f"(doc_id - ({low}L)) div {width}L"))
-    rows = docs.withColumn("_bucket", bucket.cast("bigint")).withColumn("_after", F.lit(0))
-    least = rows.groupBy("_bucket").agg(F.min("doc_id").alias("doc_id"))
-    order = Window.orderBy("_bucket")  # a row per bucket
+    rows = docs.select("doc_id", "text")
+    ranges = min(MOST_BUCKETS, parts_for(docs.count(), BUCKET_ROWS))
+    rows = rows.repartitionByRange(ranges, "doc_id", F.substring("text", 1, START_CHARS)).withColumn("_bucket", F.spark_partition_id())
+    heads = rows.groupBy("_bucket").agg(F.min(F.struct("doc_id", "text")).alias("head"))
+    heads = materialize(heads.select("_bucket", "head.*"), "heads")
+    order = Window.orderBy("_bucket")  # a row per range
     before = F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(Window.partitionBy()))
-    least = materialize(least.select("_bucket", "doc_id", before.alias("_before")), "buckets")
-    heads = rows.join(least, ["_bucket", "doc_id"])
-    heads = heads.groupBy("_bucket", "_before").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("head"))
-    heads = heads.select("head.*", F.col("_before").alias("_bucket"), F.lit(1).alias("_after")).select(*rows.columns)
+    before = heads.select("_bucket", before.alias("_before"))
+    ahead = heads.join(before, "_bucket").select("doc_id", "text", F.col("_before").alias("_bucket"), F.lit(1).alias("_after"))
+    met = rows.withColumn("_after", F.lit(0)).union(ahead)
+    met = add(met.repartition("_bucket"))
     window = Window.partitionBy("_bucket").orderBy("_after", "doc_id", "text")
     nexts = [F.lead(c).over(window).alias(f"next_{c}") for c in columns]
-    return rows.union(heads).select("*", *nexts).where("_after = 0").drop("_bucket", "_after")
+    return met.select("*", *nexts).where("_after = 0").drop("_bucket", "_after")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -131,10 +131,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts
     are empty; two empty texts are alike, an empty and another are not. Repeated
     rows follow each other; a null id is the smallest and comes back as null; an
-    empty table gives an empty one; other columns are not read.
+    empty table gives an empty one; other columns are not read; ids may take any 64-bit value but the least. Texts of any length are
+    read whole; near_* hold for texts of up to 2^20 - 1 paragraphs.
     """
     rows = docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"))
-    rows = with_next(with_lanes(rows, "text", "lanes"), ["text", "lanes"])
+    rows = with_next(rows, ["text", "lanes"], lambda df: with_lanes(df, "text", "lanes"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     edited = F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), F.expr("substring(next_text, 1, int(n_chars div 2))"))
     rows = rows.select("doc_id", "n_chars", edited.alias("edited"), "lanes", "next_lanes")

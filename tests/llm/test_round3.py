@@ -259,3 +259,48 @@ def test_contour_and_inertia():
         assert np.abs(found - np.sort(values)[::-1][:8]).max() < 1e-11 and np.abs(vectors.T @ vectors - np.eye(len(found))).max() < 1e-12
     indefinite = np.array([[0.0, 1.0], [1.0, 0.0]])
     assert eigenvalues_above(indefinite, 0.0) == 1 and eigenvalues_above(np.zeros((3, 3)), 0.0) == 0
+
+
+# --- multiset fingerprints over any ids ---------------------------------------------------------------------
+
+
+def edited(rows):
+    """(id, edited text) by sorting all rows."""
+    rows = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], (r[1] or "").encode()))
+    texts = [r[1] or "" for r in rows]
+    cut = lambda t, nxt: t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+    return sorted(((r[0], sha(cut(t, texts[(i + 1) % len(texts)]))) for i, (r, t) in enumerate(zip(rows, texts))), key=repr)
+
+
+@pytest.mark.parametrize("case", ["hashes", "ends", "outlier", "null", "one id"])
+def test_next_document_for_any_ids(spark, monkeypatch, case):
+    from siftline.llm import multiset
+
+    monkeypatch.setattr(multiset, "BUCKET_ROWS", 100)
+    rnd = random.Random(len(case))
+    texts = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    ids = {
+        "hashes": [rnd.randrange(-(2**63) + 1, 2**63) for _ in texts],
+        "ends": [-(2**63) + 1, 2**63 - 1, 0] * 500,
+        "outlier": [2**62, *range(1499)],
+        "null": [None if i % 3 else i for i in range(1500)],
+        "one id": [7] * 1500,
+    }[case]
+    rows = list(zip(ids, texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = multiset.edited_fingerprints(df).select("doc_id", "edited_sha256").collect()
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=repr) == edited(rows)
+
+
+def test_likeness_against_the_cosine_of_paragraph_counts(spark):
+    from collections import Counter
+
+    from siftline.llm import multiset
+
+    rnd = random.Random(9)
+    rows = [(i, "\n".join(f"p{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 80)))) for i in range(200)]
+    got = {r.doc_id: r.near_next for r in multiset.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bags = [Counter(t.split("\n")) for _, t in rows]
+    cosine = lambda a, b: sum(a[k] * b[k] for k in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    errors = [abs(got[i] - cosine(bags[i], bags[(i + 1) % 200])) for i in range(200)]
+    assert sum(errors) / 200 < 0.09 and max(errors) < 0.4
