@@ -91,8 +91,10 @@ def continuation_prompts(
     )
 
 
-def score_batches(prompts: DataFrame, scorer: Callable[[str], str], tasks: int | None = None) -> DataFrame:
-    """Answers of ``scorer(prompt)``, one row per batch.
+def score_batches(
+    prompts: DataFrame, scorer: Callable[[str], str], tasks: int | None = None, keep: tuple[str, ...] = ("batch",)
+) -> DataFrame:
+    """Answers of ``scorer(prompt)``, one row per batch, with the columns ``keep`` of the prompt.
 
     An exception fails its own batch: it becomes the ``error`` of the row.
     With a ``conversation`` column, the batches of one conversation run in
@@ -111,16 +113,15 @@ def score_batches(prompts: DataFrame, scorer: Callable[[str], str], tasks: int |
                 except Exception as e:
                     responses.append(None)
                     errors.append(str(e))
-            yield pd.DataFrame({"batch": part["batch"], "response": responses, "error": errors})
+            yield part[list(keep)].assign(response=responses, error=errors)
 
     n_tasks = int(tasks or prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "conversation" in prompts.columns:
         prompts = prompts.repartition(n_tasks, "conversation").sortWithinPartitions("conversation", "batch")
     else:
         prompts = prompts.repartition(n_tasks, "batch")
-    return prompts.select("batch", "prompt").mapInPandas(
-        answer, "batch BIGINT, response STRING, error STRING"
-    )
+    kept = "".join(f"{c} {prompts.schema[c].dataType.simpleString()}, " for c in keep)
+    return prompts.select(*keep, "prompt").mapInPandas(answer, f"{kept}response STRING, error STRING")
 
 
 def split_blocks(responses: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftline.operators.answers import score_logged, scorer_context
 from siftline.operators.commit import commit_rows
 from siftline.operators.dedup import deduplicate, match_details
 from siftline.operators.locate import assign_tier, geocode_worklist, merge_cache
@@ -51,6 +52,7 @@ class RunOptions:
     duplicate_report: bool = False
     cache_in: str | None = None
     cache_out: str | None = None
+    answers_path: str | None = None  # a log of the scorer's answers, so that a repeated run asks for the rest only
 
 
 @dataclass(frozen=True)
@@ -67,10 +69,13 @@ def score_listings(
     scorer: Callable[[str], str],
     batch_size: int | None = None,
     conversations: int | None = None,
+    answers_path: str | None = None,
+    run_id: int = 0,
 ) -> DataFrame:
     """Listings with their result columns.
 
     Batch size and concurrency come from the scorer's settings unless given.
+    With ``answers_path``, answers that ``run_id`` has logged there are not asked for again.
 
     Positions are made dense first, since a batch is a run of positions. The
     answers are written once: they are expensive and several branches read them.
@@ -84,7 +89,13 @@ def score_listings(
         if conversations is None
         else continuation_prompts(batched, settings.profile, conversations)
     )
-    responses = materialize(score_batches(prompts, scorer, settings.scorer_settings.get("max_concurrent")), "responses")
+    tasks = settings.scorer_settings.get("max_concurrent")
+    if answers_path is None:
+        answers = score_batches(prompts, scorer, tasks)
+    else:
+        context = scorer_context(settings.scorer, settings.scorer_settings)
+        answers = score_logged(prompts, scorer, answers_path, run_id, context, tasks)
+    responses = materialize(answers, "responses")
     results = parse_responses(responses, batched.select("batch", "pos"))
     joined = reassemble(batched, results)
     return joined.withColumn("pos", F.col("_pos")).drop("_pos", "job_id", "batch", "start_index")
@@ -142,7 +153,9 @@ def run(
             )
         kept = kept.join(matches.select("pos"), "pos", "left_anti")
 
-    results = score_listings(kept, settings, scorer, options.batch_size, options.conversations)
+    results = score_listings(
+        kept, settings, scorer, options.batch_size, options.conversations, options.answers_path, options.run_id
+    )
     if settings.locations:
         cache = (
             read_geocode_cache(spark, options.cache_in)
