@@ -90,6 +90,14 @@ SELECT page_id, url, concat(html, CASE page_id % 5
   WHEN 2 THEN '<script id="__NEXT_DATA__">{{broken</script>'
   WHEN 3 THEN concat('<script id="__NEXT_DATA__">{{"props":{{"pageProps":{{"job":{{"apply_url":"/rel/', page_id, '","enriched_company_data":{{"name":"Other ', page_id % 3, '"}}}}}}}}}}</script>')
   ELSE '' END) AS html
+FROM {pages}""",
+    # What boards show of the pages: twenty cards a results page, keys that repeat on a page and across pages, and gaps.
+    "board_jobs": """
+SELECT page_id, CAST(floor(page_id / 20) AS BIGINT) AS page, concat('Role & ', page_id) AS title,
+ concat('Firm ', page_id % 11) AS company, concat('City ', page_id % 25) AS location,
+ CASE WHEN page_id % 13 = 5 THEN '' ELSE concat('k', CAST(floor(page_id % 97 / 2) AS BIGINT)) END AS key,
+ page_id % 17 = 3 AS hidden, page_id % 19 = 4 AS lost, page_id % 11 = 6 AS textless,
+ regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body
 FROM {pages}""",
     # Cards as found on board pages: keys repeat within and across pages, some fields are missing.
     "cards": """

@@ -32,6 +32,7 @@ from siftline.operators.scoring import (
     reassemble,
     score_batches,
 )
+from siftline.plans.pages import read_board
 from siftline.schemas import GEOCODE_CACHE
 from siftline.session import materialize
 from siftline.sources.listings import fill_listings, read_listings
@@ -122,14 +123,20 @@ def run(
     listings: DataFrame | None = None,
     path: str = "",
     geocoder: Callable[[DataFrame], DataFrame] | None = None,
+    pages_path: str = "",
 ) -> RunResult:
     """One run. It sees what earlier runs have committed and commits its own rows last.
 
+    It starts from ``listings``, from the stored pages of the source at ``pages_path``, by the
+    source's settings, or from the listing files at ``path``.
+
     ``pos`` of the results counts all listings in (page, position) order, since positions
     may start again on each page. All outputs carry the run id; repeating a run, also
     one that has failed half-way, replaces them.
     """
-    if listings is None:
+    if listings is None and pages_path:
+        listings = read_board(spark, pages_path, settings.source, settings.source_settings)
+    elif listings is None:
         listings = read_listings(spark, settings.source, path)
     dense = assign_pos(fill_listings(listings))
     listings = materialize(dense.withColumn("pos", F.col("job_id")).drop("job_id"), "listings")
