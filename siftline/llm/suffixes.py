@@ -423,7 +423,7 @@ def remove_repeats(
     A null id is the smallest and comes back as null. Other columns are not read;
     an empty table gives an empty one.
 
-    How: documents are spread over chunks of about ``chunk_bytes``. Every window
+    How: documents are spread over chunks of about ``chunk_bytes`` by id and text. Every window
     of ``length`` bytes is filed under its anchor, the least-hashed gram inside
     it, so that equal windows have equal anchors. A first exchange of sorted
     anchor hashes tells each chunk which anchors another document has; others
@@ -443,7 +443,8 @@ def remove_repeats(
         id_in("doc_id").alias("doc_id"), text_in().alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     )
     chunks = parts_for(total_bytes(named, "text"), chunk_bytes)
-    rows = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    # By id and text, so that the rows of one id, such as null, are spread; only equal rows of one id stay together.
+    rows = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     kept = [f"_c{i}" for i in range(len(carry))]
     lists = rows.groupBy("chunk").applyInArrow(_gram_lists(chunks, w), BLOBS)
     shared = lists.groupBy("part").applyInArrow(_shared_grams, BLOBS)

@@ -251,3 +251,16 @@ def test_mixing(spark, docs, nothing):
             at += r.tokens
         assert have <= at <= 2 * have + max((r.tokens for r in mine), default=0)
     assert mix_sources(nothing, repeat_limit=2.0).count() == 0
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A third of null ids, and one id for many texts: rows of an id leave each other's passages alone, in any chunk."""
+    passage = "a passage of more than fifty bytes that stands in very many rows of the table; "
+    rows = [(None, f"{i} {passage}{i * 7}") for i in range(40)] + [(5, f"five {i} {passage}") for i in range(40)]
+    rows += [(9 + i, f"own {i * 31} text without the rest") for i in range(40)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 50, chunk_bytes=512).collect()
+    assert len(got) == 120
+    by_id = lambda wanted: {(r.n_removed > 0, r.n_spans) for r in got if wanted(r.doc_id)}
+    assert by_id(lambda i: i is None) == {(False, 0)}
+    assert by_id(lambda i: i == 5) == {(True, 1)}
+    assert by_id(lambda i: i is not None and i >= 9) == {(False, 0)}
