@@ -14,6 +14,7 @@ from siftline.llm.common import id_in, id_out, parts_for, small_batches, text_in
 
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 17
+HOT_ANCHOR = 1 << 16
 BLOBS = "chunk int, part int, kind int, rows binary, more binary"
 _TABLE = np.random.default_rng(9).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 
@@ -123,7 +124,10 @@ def _blobs(rows: list[tuple]) -> pa.Table:
 
 
 def _gram_lists(parts: int, w: Windows):
-    """Per chunk: the sorted anchors it holds, by part, each marked if two documents of the chunk have it."""
+    """Per chunk: the sorted anchors it holds, by part, each marked if two documents of the chunk have it.
+
+    Behind the marks: which anchors stand in several places, and in how many.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         data, starts = _bytes_of(table)
@@ -135,33 +139,51 @@ def _gram_lists(parts: int, w: Windows):
         hashes, who = hashes[order], ids[doc[order]]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         several = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-        hashes = hashes[first]
+        hashes, places = hashes[first], np.diff(np.r_[first, len(hashes)])
         cuts = np.searchsorted(_part_of(hashes, parts), np.arange(parts + 1))
         return _blobs([
-            (key[0].as_py(), p, 0, hashes[i:j].tobytes(), np.packbits(several[i:j]).tobytes())
+            (key[0].as_py(), p, 0, hashes[i:j].tobytes(), _marked(several[i:j], places[i:j]))
             for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i
         ])
 
     return run
 
 
-def _shared_grams(key: tuple, table: pa.Table) -> pa.Table:
-    """Per part: which anchors of each chunk stand in two documents or more."""
-    lists = [np.frombuffer(r.as_py(), np.uint64) for r in table.column("rows")]
-    marks = [np.unpackbits(np.frombuffer(m.as_py(), np.uint8))[: len(x)] for m, x in zip(table.column("more"), lists)]
-    hashes, several = np.concatenate(lists), np.concatenate(marks).astype(bool)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    same = ranked[1:] == ranked[:-1]
-    shared = np.zeros(len(hashes), bool)
-    shared[order] = np.r_[False, same] | np.r_[same, False]
-    shared |= several
-    cuts = np.cumsum([0, *map(len, lists)])
-    part = key[0].as_py()
-    return _blobs([
-        (chunk.as_py(), part, 1, x[shared[i:j]].tobytes(), b"")
-        for chunk, x, i, j in zip(table.column("chunk"), lists, cuts[:-1], cuts[1:]) if shared[i:j].any()
-    ])
+def _marked(several: np.ndarray, places: np.ndarray) -> bytes:
+    more = places > 1
+    return np.packbits(several).tobytes() + np.packbits(more).tobytes() + places[more].astype(np.uint32).tobytes()
+
+
+def _marks_of(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    flags = (n + 7) // 8
+    several, more = (np.unpackbits(np.frombuffer(blob, np.uint8, flags, i * flags))[:n].astype(bool) for i in (0, 1))
+    places = np.ones(n, np.int64)
+    places[more] = np.frombuffer(blob, np.uint32, offset=2 * flags)
+    return several, places
+
+
+def _shared_grams(hot_anchor: int):
+    """Per part: which anchors of each chunk stand in two documents or more, and which of them in more than ``hot_anchor`` places."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(r.as_py(), np.uint64) for r in table.column("rows")]
+        several, places = map(np.concatenate, zip(*[_marks_of(m.as_py(), len(x)) for m, x in zip(table.column("more"), lists)]))
+        hashes = np.concatenate(lists)
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        chunks = np.diff(np.r_[first, len(hashes)])
+        shared, hot = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
+        shared[order] = np.repeat((chunks > 1) | np.logical_or.reduceat(several[order], first), chunks)
+        hot[order] = np.repeat(np.add.reduceat(places[order], first) > hot_anchor, chunks)
+        cuts = np.cumsum([0, *map(len, lists)])
+        part = key[0].as_py()
+        return _blobs([
+            (chunk.as_py(), part, 1, x[shared[i:j]].tobytes(), np.packbits(hot[i:j][shared[i:j]]).tobytes())
+            for chunk, x, i, j in zip(table.column("chunk"), lists, cuts[:-1], cuts[1:]) if shared[i:j].any()
+        ])
+
+    return run
 
 
 @dataclass
@@ -169,7 +191,10 @@ class Suffixes:
     """The distinct suffixes of a chunk at shared anchors, in order, and the places they stand at.
 
     A row of ``text`` has the bytes from the anchor on, then those before it
-    backwards, then both lengths; ``least`` is the smallest document with it.
+    backwards, then both lengths; ``least`` is the smallest document with it. At
+    a hot anchor a row is a single window, so that windows can go to different
+    parts. ``row_of`` has the rows of the suffix in place ``of``, from ``begin`` on:
+    one, or at a hot anchor (``step`` 1) one per window, the last window first.
     """
 
     text: np.ndarray
@@ -180,16 +205,58 @@ class Suffixes:
     first: np.ndarray
     last: np.ndarray
     of: np.ndarray
+    row_of: np.ndarray
+    begin: np.ndarray
+    step: np.ndarray
 
 
-def _suffixes(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, shared: list[bytes], parts: int, w: Windows) -> Suffixes:
+def _distinct(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct row in their order, its smallest document, number of the distinct row in every place)."""
+    n = len(rows)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    flat = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    of = np.empty(n, np.int64)
+    of[order] = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    return order[heads], np.minimum.reduceat(docs[order], heads), of
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + _TABLE[column]
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def _windows_of(rows: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of the suffixes ``rows`` as a row of its own, the last window first; and how many each suffix has."""
+    right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    least = w.length - right  # the distance of the last window's start to the anchor
+    counts = left - least + 1
+    which = np.repeat(np.arange(len(rows)), counts)
+    back = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + least[which]
+    out = rows[which]
+    out[:, : w.length][np.arange(w.length)[None, :] >= (w.length - back)[:, None]] = 0
+    out[:, w.length : -2][np.arange(w.reach - 1)[None, :] >= back[:, None]] = 0
+    out[:, -2], out[:, -1] = w.length - back, back
+    return out, counts
+
+
+def _suffixes(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, shared: pa.Table, parts: int, w: Windows) -> Suffixes:
     doc, anchor, first, last, hashes = anchors(data, starts, w)
-    known = np.sort(np.frombuffer(b"".join(shared), np.uint64))
-    if len(known):
-        keep = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-    else:
-        keep = np.zeros(len(hashes), bool)
-    doc, anchor, first, last, hashes = (x[keep] for x in (doc, anchor, first, last, hashes))
+    lists = [np.frombuffer(r, np.uint64) for r in shared.column("rows").to_pylist()]
+    flags = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(x)] for m, x in zip(shared.column("more").to_pylist(), lists)]
+    known = np.concatenate(lists) if lists else np.empty(0, np.uint64)
+    order = np.argsort(known, kind="stable")
+    known, hot_known = known[order], (np.concatenate(flags)[order].astype(bool) if lists else np.empty(0, bool))
+    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+    keep = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+    doc, anchor, first, last, hashes, at = (x[keep] for x in (doc, anchor, first, last, hashes, at))
     n, right, left = len(doc), last + w.length - anchor, anchor - first
     rows = np.zeros((n, w.length + w.reach + 1), np.uint8)
     for i in range(w.length):
@@ -197,15 +264,25 @@ def _suffixes(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, shared: lis
     for i in range(w.reach - 1):
         rows[:, w.length + i] = np.where(i < left, data[np.maximum(anchor - 1 - i, 0)], 0) if n else 0
     rows[:, -2], rows[:, -1] = right, left
-    flat = rows.view(f"S{rows.shape[1]}").ravel() if n else np.empty(0, "S1")
-    order = np.argsort(flat, kind="stable")
-    rows, flat = rows[order], flat[order]
-    new = np.r_[True, flat[1:] != flat[:-1]][:n]
-    of = np.empty(n, np.int64)
-    of[order] = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    least = np.minimum.reduceat(ids[doc[order]], heads) if n else np.empty(0, np.int64)
-    return Suffixes(rows[heads], least, _part_of(hashes[order][heads], parts), doc, anchor, first, last, of)
+    heads, least, of = _distinct(rows, ids[doc])
+    rows, part = rows[heads], _part_of(hashes[heads], parts)
+    hot = hot_known[at[heads]] if len(known) else np.zeros(len(heads), bool)
+    row_of, begin, step = np.arange(len(rows)), np.arange(len(rows)), hot.astype(np.int64)
+    if hot.any():
+        windows, counts = _windows_of(rows[hot], w)
+        tops, top_least, number = _distinct(windows, np.repeat(least[hot], counts))
+        windows = windows[tops]
+        cold = np.flatnonzero(~hot)
+        row_of, begin = np.r_[np.arange(len(cold)), len(cold) + number], np.empty(len(rows), np.int64)
+        begin[cold], begin[hot] = np.arange(len(cold)), len(cold) + np.cumsum(counts) - counts
+        part = np.r_[part[cold], _part_of(_row_hashes(windows), parts)]
+        rows, least = np.concatenate([rows[cold], windows]), np.r_[least[cold], top_least]
+        # Parts want their rows in order; those of hot anchors come in between.
+        order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        rows, least, part, row_of = rows[order], least[order], part[order], place[row_of]
+    return Suffixes(rows, least, part, doc, anchor, first, last, of, row_of, begin, step)
 
 
 def _common(rows: np.ndarray, width: int) -> np.ndarray:
@@ -302,7 +379,7 @@ def _sort_runs(parts: int, w: Windows):
             return _blobs([])
         data, starts = _bytes_of(docs)
         ids = docs.column("doc_id").to_numpy()
-        s = _suffixes(data, starts, ids, shared.column("rows").to_pylist(), parts, w)
+        s = _suffixes(data, starts, ids, shared, parts, w)
         order = np.argsort(s.part, kind="stable")
         cuts = np.searchsorted(s.part[order], np.arange(parts + 1))
         return _blobs([
@@ -367,23 +444,25 @@ def _remove(parts: int, w: Windows, carry: list[str], as_text: bool):
         data, starts = _bytes_of(docs)
         ids = docs.column("doc_id").to_numpy()
         kinds = told.column("kind").to_numpy()
-        shared = told.column("rows").filter(pa.array(kinds == 1)).to_pylist()
+        shared = told.filter(pa.array(kinds == 1))
         marks = told.filter(pa.array(kinds == 3)).sort_by("part")
         gone = np.zeros(len(data), bool)
-        if shared and marks.num_rows:
+        if shared.num_rows and marks.num_rows:
             s = _suffixes(data, starts, ids, shared, parts, w)
             mask = np.empty(len(s.least), np.uint64)
             mask[np.argsort(s.part, kind="stable")] = np.concatenate(
                 [np.frombuffer(m.as_py(), np.uint64) for m in marks.column("rows")]
             )
             edge = np.zeros(len(data) + 1, np.int8)
-            later = ids[s.doc] > s.least[s.of]  # the chunk itself has a smaller document with the whole suffix
             repeated = np.zeros(len(data), bool)
-            mine = np.where(later, np.uint64(2**64 - 1), mask[s.of])
+            who, begin, step = ids[s.doc], s.begin[s.of], s.step[s.of]
+            nearest = s.anchor - s.last
             for o in range(w.reach):
-                here = s.anchor - o
-                yes = (mine >> np.uint64(o) & np.uint64(1)).astype(bool) & (here >= s.first) & (here <= s.last)
-                repeated[here[yes]] = True
+                has = np.flatnonzero((nearest <= o) & (s.anchor - o >= s.first))
+                row = s.row_of[begin[has] + step[has] * (o - nearest[has])]
+                # Another chunk or this one has a smaller document with the window.
+                yes = (mask[row] >> np.uint64(o) & np.uint64(1)).astype(bool) | (who[has] > s.least[row])
+                repeated[s.anchor[has[yes]] - o] = True
             begins = np.flatnonzero(repeated)
             if len(begins):
                 run_start = np.r_[True, begins[1:] > begins[:-1] + w.length]
@@ -411,7 +490,8 @@ def _remove(parts: int, w: Windows, carry: list[str], as_text: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), as_text: bool = False, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), as_text: bool = False, chunk_bytes: int = CHUNK_BYTES,
+    hot_anchor: int = HOT_ANCHOR,
 ) -> DataFrame:
     """``docs`` (doc_id, text) without the bytes covered by ``length``-byte strings of smaller documents.
 
@@ -433,9 +513,13 @@ def remove_repeats(
     its runs with a loser tree that starts every comparison behind the known
     common prefix. The common prefixes of neighbours in that order, with those of the
     bytes before the anchor, group equal windows, and the smallest document of
-    a group keeps its bytes. What a task holds is a chunk, or the distinct
-    suffixes that fall into a part; copies of a passage fall together in
-    their chunks, whatever their number.
+    a group keeps its bytes. An anchor in more than ``hot_anchor`` places, such as a
+    phrase of a third of all documents, is split: each chunk sends its distinct
+    windows there one by one, with the smallest document, and they go to parts by
+    their own hash. What a task holds is a chunk, or the distinct
+    suffixes that fall into a part, at most ``hot_anchor`` of one anchor and one per
+    chunk of a window at a hot one; copies of a passage fall together in
+    their chunks, whatever their number. A text longer than ``chunk_bytes`` makes its chunk longer.
     """
     small_batches(docs)
     w = Windows(length)
@@ -447,7 +531,7 @@ def remove_repeats(
     rows = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     kept = [f"_c{i}" for i in range(len(carry))]
     lists = rows.groupBy("chunk").applyInArrow(_gram_lists(chunks, w), BLOBS)
-    shared = lists.groupBy("part").applyInArrow(_shared_grams, BLOBS)
+    shared = lists.groupBy("part").applyInArrow(_shared_grams(hot_anchor), BLOBS)
     runs = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sort_runs(chunks, w), BLOBS)
     marks = runs.groupBy("part").applyInArrow(_merge(w), BLOBS)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

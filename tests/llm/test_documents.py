@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from siftline.llm.multiset import delete, edited_fingerprints, insert, with_lane
 from siftline.llm.packing import OpenBins, WordTokenizer, pack, pack_documents, sequences
 from siftline.llm.queries import TOKENIZER
 from siftline.llm.simhash import keep_one, simhash_groups
-from siftline.llm.suffixes import merge_runs, remove_repeats
+from siftline.llm.suffixes import Windows, _bytes_of, _gram_lists, _shared_grams, _suffixes, merge_runs, remove_repeats
 
 WORDS = "the of and river stone über ça lantern, quiet. Field's moss 42 — naïve\tgreen\nbright".split(" ")
 # Names that operators use inside must not clash with columns of the caller.
@@ -114,8 +115,11 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize("length, chunk", [(50, 1500), (50, 1 << 20), (8, 4000), (90, 2000)])
-def test_remove_repeats(docs, length, chunk):
+@pytest.mark.parametrize("length, chunk, hot", [
+    (50, 1500, 1 << 16), (50, 1 << 20, 1 << 16), (8, 4000, 1 << 16), (90, 2000, 1 << 16),
+    (50, 1500, 0), (50, 1500, 12), (8, 4000, 40), (90, 2000, 3),
+])
+def test_remove_repeats(docs, length, chunk, hot):
     rows = corpus()
     least = {}
     for r in rows:
@@ -133,10 +137,28 @@ def test_remove_repeats(docs, length, chunk):
         kept = bytes(b for b, g in zip(body, gone) if not g)
         spans = len([s for s in bytes(gone).split(b"\0") if s])
         want.append((r[0], len(body), sum(gone), spans, hashlib.sha256(kept).hexdigest(), r[8]))
-    got = remove_repeats(docs, length, ("row",), chunk_bytes=chunk).drop("kept")
+    got = remove_repeats(docs, length, ("row",), chunk_bytes=chunk, hot_anchor=hot).drop("kept")
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("hot, spread", [(1 << 16, False), (64, True)])
+def test_a_phrase_of_many_documents_is_spread(hot, spread):
+    """One phrase among different words: its suffixes share a part, unless its anchors count as hot."""
+    rnd, w, parts, key = random.Random(4), Windows(50), 16, (pa.scalar(0, pa.int32()),)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [f"{word(40)} the same phrase in all of them {word(40)}" for _ in range(2000)]
+    table = pa.table({"doc_id": pa.array(range(2000), pa.int64()), "text": texts})
+    lists = _gram_lists(parts, w)(key, table)
+    shared = pa.concat_tables([
+        _shared_grams(hot)((pa.scalar(p, pa.int32()),), rows) for p in range(parts)
+        if (rows := lists.filter(pa.array(lists["part"].to_numpy() == p))).num_rows
+    ])
+    s = _suffixes(*_bytes_of(table), table["doc_id"].to_numpy(), shared, parts, w)
+    sizes = np.bincount(s.part, minlength=parts)
+    assert (sizes.max() < 1.2 * sizes.mean()) == spread
+    assert spread or sizes.max() > 1000
+
+
 def test_remove_repeats_of_nothing(nothing):
     assert remove_repeats(nothing).count() == 0
 
