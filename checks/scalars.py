@@ -22,10 +22,10 @@ def listings_scan(t: Tables) -> DataFrame:
     """Listings written as files per source, read back source by source."""
     from siftline.operators.prefilter import union_pages
     from siftline.session import scratch_path
-    from siftline.sources.listings import read_listings
+    from siftline.sources.listings import read_listings, write_listings
 
     path = scratch_path(t.spark, "listings")
-    t.listings.write.parquet(path)
+    write_listings(t.listings, path)
     names = ["linkedin", "indeed", "hiring_cafe", "remotive"]
     return union_pages(*[read_listings(t.spark, name, path) for name in names]).drop("page")
 
