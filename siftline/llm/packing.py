@@ -180,13 +180,17 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bool = False) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of ``size`` tokens at most, the closing id 0 included.
+def token_pieces(
+    docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bool = False, place: Column | None = None
+) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32[, ids][, place]) of ``size`` tokens at most, the closing id 0 included.
 
-    ``tokenizer`` is a path that every executor has. A null or empty text has the closing id only.
+    ``tokenizer`` is a path that every executor has. A null or empty text has the closing id only. ``place``, a
+    number of the document, is handed on to its pieces.
     """
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
+    schema += ", place bigint" * (place is not None)
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids + [pa.int64()] * (place is not None)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,16 +200,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bo
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 _, found = tok.batch(part.column(1).cast(pa.binary()).to_pylist())
-                for doc, ids in zip(part.column(0).to_pylist(), found):
+                places = zip(part.column(2).to_pylist()) if part.num_columns > 2 else iter([()] * part.num_rows)
+                for doc, ids, at_place in zip(part.column(0).to_pylist(), found, places):
                     ids = ids.tobytes() + np.array([END], "<u4").tobytes()
                     for piece, i in enumerate(range(0, len(ids), 4 * size)):
                         cut = ids[i : i + 4 * size]
-                        out.append((doc, piece, i // 4, len(cut) // 4, zlib.crc32(cut)) + (cut,) * with_ids)
+                        out.append((doc, piece, i // 4, len(cut) // 4, zlib.crc32(cut)) + (cut,) * with_ids + at_place)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     small_batches(docs)
-    rows = docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"))
-    return rows.mapInArrow(run, schema)
+    placed = [place.alias("place")] if place is not None else []
+    return docs.select(id_in("doc_id").alias("doc_id"), text_in().alias("text"), *placed).mapInArrow(run, schema)
 
 
 def token_counts(text: Column, tokenizer: str) -> Column:
@@ -260,7 +265,9 @@ class OpenBins:
         return bin_, self.size - free
 
 
-def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 1024, part_rows: int = 1 << 16) -> DataFrame:
+def pack(
+    pieces: DataFrame, size: int = 2048, open_bins: int = 1024, part_rows: int = 1 << 16, order: str | None = None
+) -> DataFrame:
     """``pieces`` (… length …) with sequence_id and offset: best fit with ``open_bins`` open bins.
 
     The pieces are dealt to parts of about ``part_rows`` by a hash and each part
@@ -268,6 +275,9 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 1024, part_rows:
     the open bin that it fills best; when none has room and all are open, the fullest
     closes. Memory is the open bins. Pieces longer than ``size`` or without
     length are refused. Sequence ids are unique, not dense.
+
+    With ``order``, the name of a number column, parts are ranges of it and are packed in its order, so
+    that sequences with rising ids follow it, as far as open bins reach.
     """
     pieces = materialize(pieces, "pieces")
     columns = pieces.columns
@@ -276,6 +286,11 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 1024, part_rows:
     dealt = pieces.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64(*keys).alias("turn"))
     dealt = dealt.withColumn("part", F.pmod("turn", F.lit(parts)).cast("int"))
     schema = dealt.schema["row"].dataType
+    if order is not None:
+        ranged = dealt.withColumn("turn", F.col(f"row.`{order}`")).select("row", "turn").repartitionByRange(parts, "turn")
+        spread = ranged.withColumn("part", F.spark_partition_id())
+    else:
+        spread = dealt.repartition(parts, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, now = OpenBins(size, open_bins), None
@@ -294,20 +309,24 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 1024, part_rows:
             arrays = [rows, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "sequence_id", "offset"])
 
-    placed = dealt.repartition(parts, "part").sortWithinPartitions("part", "turn", "row").mapInArrow(
+    placed = spread.sortWithinPartitions("part", "turn", "row").mapInArrow(
         run, f"row {schema.simpleString()}, sequence_id bigint, offset bigint"
     )
     return placed.select("row.*", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, open_bins: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, size: int = 2048, open_bins: int = 1024, with_ids: bool = False, place: Column | None = None
+) -> DataFrame:
     """Pack whole documents: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset per piece.
 
     Only documents longer than ``size`` tokens are cut. Null and empty texts are
     one closing token; repeated rows are packed each; a null id comes back as
-    null; an empty table gives an empty one; other columns are not read.
+    null; an empty table gives an empty one; other columns are not read. With
+    ``place``, a number per document, sequences follow its order.
     """
-    packed = pack(token_pieces(docs, tokenizer, size, with_ids), size, open_bins)
+    pieces = token_pieces(docs, tokenizer, size, with_ids, place)
+    packed = pack(pieces, size, open_bins, order=None if place is None else "place").drop("place")
     return packed.withColumn("doc_id", id_out("doc_id"))
 
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from siftline.llm.components import connected_components
 from siftline.llm.mixing import find_exponent, mix_sources
 from siftline.llm.multiset import delete, edited_fingerprints, insert, with_lanes
-from siftline.llm.packing import OpenBins, WordTokenizer, pack, pack_documents, sequences
+from siftline.llm.packing import OpenBins, WordTokenizer, pack, pack_documents, sequences, token_pieces
 from siftline.llm.queries import TOKENIZER
 from siftline.llm.simhash import keep_one, simhash_groups
 from siftline.llm.suffixes import Windows, _bytes_of, _gram_lists, _shared_grams, _suffixes, merge_runs, remove_repeats
@@ -200,6 +200,27 @@ def test_pack_documents(docs, nothing):
     assert pack_documents(nothing, TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [1 << 16, 40])
+def test_sequences_follow_an_order(spark, part_rows):
+    """Ranges of the order are packed one after the other; a repeated text stands where its own place is."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(WORDS) for _ in range(60)) if i % 4 else "the same again " * 12, (i * 37) % 400) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, at bigint").repartition(5)
+    pieces = token_pieces(docs, TOKENIZER, 256, place=F.col("at"))
+    got = pack(pieces, 256, 4, part_rows, order="place").collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == list(range(400)) and all(r.place == r.doc_id * 37 % 400 for r in got)
+    filled, turns = {}, {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        turns.setdefault(r.sequence_id, []).append(r.place)
+    for places in filled.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)])]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 256
+    means = [np.mean(turns[q]) for q in sorted(turns)]
+    assert np.corrcoef(means, range(len(means)))[0, 1] > 0.99
+    assert max(max(t) - min(t) for t in turns.values()) < 80
+
+
 def test_tokenizer_forgets():
     tokenizer, small = Tokenizer.from_file(TOKENIZER), WordTokenizer(TOKENIZER, most_words=3)
     for text in ("one two three", "four one", "three two one four five", "one", "naïve <|endoftext|> x", "Ωmega ΟΔΟΣ two", "can't 12", "a\x00b \x7f\x1f", "\x85\xadß\xa0"):
