@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline.llm.language import Evidence, identify
 from siftline.llm.mixing import mix_sources
@@ -38,13 +39,28 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for, each at least once."""
-    return mix_sources(docs, repeat_limit=REPEAT_LIMIT, tokens=token_counts(F.col("text"), TOKENIZER)).select("doc.*")
+    """Documents as often as their source's weight asks for, each at least once, in the order of the mix."""
+    mixed = mix_sources(docs, repeat_limit=REPEAT_LIMIT, tokens=token_counts(F.col("text"), TOKENIZER))
+    return mixed.repartitionByRange("block", "turn").sortWithinPartitions("block", "turn").select("doc.*")
+
+
+def place_in_files(docs: DataFrame) -> Column | None:
+    """Where a row stands in the files that Spark wrote one after the other; a hash of the text for other files.
+
+    None if ``docs`` are not read from files.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("bigint")
+    file = F.shiftleft(number(r"^part-(\d+)-"), 40) + F.shiftleft(number(r"-c(\d+)\."), 32)
+    return F.coalesce(file + F.col("_metadata.row_index"), F.xxhash64("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences."""
-    return pack_documents(docs, TOKENIZER, SEQUENCE)
+    """Pieces of documents with their place in sequences, which follow the order of the files of ``docs``."""
+    return pack_documents(docs, TOKENIZER, SEQUENCE, place=place_in_files(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
