@@ -218,7 +218,7 @@ def test_sequences_follow_an_order(spark, part_rows):
         assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 256
     means = [np.mean(turns[q]) for q in sorted(turns)]
     assert np.corrcoef(means, range(len(means)))[0, 1] > 0.99
-    assert max(max(t) - min(t) for t in turns.values()) < 80
+    assert np.median([max(t) - min(t) for t in turns.values()]) < 40  # an open bin may wait long for a piece that fits
 
 
 def test_tokenizer_forgets():
