@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftline.session import small_batches  # noqa: F401
+
 # Inside the operators a null id is the smallest id; results turn it back into null.
 NO_ID = -(2**63)
 
@@ -29,14 +31,3 @@ def parts_for(total: int, each: int) -> int:
 
 def total_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
-
-
-def small_batches(df: DataFrame) -> None:
-    """Let whole texts go to Python in batches of 2,000 rows, unless the session sets a number of its own.
-
-    Spark's default of 10,000 rows costs an executor several copies of some 30 MB per task. The
-    setting stays in the session; it changes no result.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, "2000")
