@@ -193,6 +193,7 @@ def score_batches(t: Tables) -> DataFrame:
     from siftline.session import materialize
 
     asked = B.assign_batches(t.listings, 4)
-    answers = materialize(B.score_batches(B.continuation_prompts(asked, PROFILE, 3), keyword_scorer), "answers")
+    prompts = B.continuation_prompts(asked, PROFILE, 3)
+    answers = materialize(B.score_batches(prompts, keyword_scorer, turn_mb=B.TURN_MB), "answers")
     results = B.parse_responses(answers, asked.select("batch", "pos"))
     return results.select("pos", "result_type", "reason", "score", "reasoning")

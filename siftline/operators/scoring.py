@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions import protocol as P
 from siftline.functions.text import WS, parse_address, strip
-from siftline.session import small_batches
+from siftline.session import scratch_path, small_batches
 
 # Prompts that a task holds as Python texts at a time.
 ASKED = 64
+# Where conversations go in turns: megabytes of prompts that a task is asked in a turn, and how many consecutive batch numbers a turn never parts.
+TURN_MB = 64
+TURN_BLOCK = 256
 # All line ends that a text can have, CR LF counting as one.
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 # Fixed value: an integer as the scorer may write it.
@@ -95,7 +99,8 @@ def continuation_prompts(
 
 
 def score_batches(
-    prompts: DataFrame, scorer: Callable[[str], str], tasks: int | None = None, keep: tuple[str, ...] = ("batch",)
+    prompts: DataFrame, scorer: Callable[[str], str], tasks: int | None = None, keep: tuple[str, ...] = ("batch",),
+    turn_mb: int | None = None,
 ) -> DataFrame:
     """Answers of ``scorer(prompt)``, one row per batch, with the columns ``keep`` of the prompt.
 
@@ -105,8 +110,15 @@ def score_batches(
     ``spark.sql.shuffle.partitions``: an explicit number, since small prompts would be merged
     into few tasks while their answers take seconds each. A prompt holds the whole texts of its listings, so
     a task takes small batches of them, and few at a time as Python texts.
+
+    With ``turn_mb``, conversations of more megabytes go in turns, see ``_score_in_turns``: for a scorer
+    whose state, if it has any, is its own (attributes, a closure) and can be pickled. Without, a
+    conversation is one task however long it is, and a scorer may hold on to anything, such as a connection.
     """
     small_batches(prompts)
+    n_tasks = int(tasks or prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if turn_mb and "conversation" in prompts.columns:
+        return _score_in_turns(prompts, scorer, n_tasks, keep, turn_mb)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,18 +126,14 @@ def score_batches(
                 part = batch.slice(at, ASKED)
                 responses, errors = [], []
                 for prompt in part.column("prompt").to_pylist():
-                    try:
-                        responses.append(scorer(prompt))
-                        errors.append(None)
-                    except Exception as e:
-                        responses.append(None)
-                        errors.append(str(e))
+                    response, error = _ask(scorer, prompt)
+                    responses.append(response)
+                    errors.append(error)
                 columns = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(responses, pa.string()), pa.array(errors, pa.string())], [*keep, "response", "error"]
                 )
 
-    n_tasks = int(tasks or prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "conversation" in prompts.columns:
         prompts = prompts.repartition(n_tasks, "conversation").sortWithinPartitions("conversation", "batch")
     else:
@@ -134,6 +142,104 @@ def score_batches(
     return prompts.select(*keep, "prompt").mapInArrow(answer, f"{kept}response STRING, error STRING")
 
 
+def _ask(scorer: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+    try:
+        return scorer(prompt), None
+    except Exception as e:
+        return None, str(e)
+
+
+def _score_in_turns(
+    prompts: DataFrame, scorer: Callable[[str], str], n_tasks: int, keep: tuple[str, ...], turn_mb: int
+) -> DataFrame:
+    """Conversations in turns, one job after the other, so that no task reads more than ``turn_mb`` and one block of batches.
+
+    Every conversation begins with its own copy of the scorer. At the end of a turn the scorer, with what it
+    has learnt, is pickled into a row, and that row comes before the prompts of the conversation's next turn: it
+    sees the same prompts in the same order as in one task. The prompts are written
+    once, in order of their batches and in small pages, so that a turn reads its own. If all fits one turn, nothing is handed on.
+    """
+    spark = prompts.sparkSession
+    path = scratch_path(spark, "turns")
+    needed = [c for c in prompts.columns if c in {*keep, "conversation", "batch", "prompt"}]
+    sized = prompts.select(*needed, F.coalesce(F.octet_length("prompt"), F.lit(0)).alias("_size"))
+    sized.sortWithinPartitions("batch").write.option("parquet.page.row.count.limit", ASKED).parquet(f"{path}/prompts")
+    told = spark.read.schema(sized.schema).parquet(f"{path}/prompts")
+    turns = _turns(told, n_tasks, turn_mb)
+    told = told.drop("_size")
+    if len(turns) == 1:
+        return score_batches(told, scorer, n_tasks, keep)
+
+    first = cloudpickle.dumps(scorer)
+
+    def turn_of(hand_on: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            talk, own = None, None
+
+            def handed() -> list[dict]:
+                if not hand_on or not talk:
+                    return []
+                try:
+                    return [{"_talk": talk[0], "_scorer": cloudpickle.dumps(own)}]
+                except Exception as e:
+                    raise TypeError("a scorer that is asked in turns (turn_mb) must be picklable after use") from e
+
+            for batch in batches:
+                types = {f.name: f.type for f in batch.schema}
+                schema = pa.schema(
+                    [*[(c, types[c]) for c in keep], ("response", pa.string()), ("error", pa.string()),
+                     ("_talk", types["conversation"]), ("_scorer", pa.binary())]
+                )
+                for at in range(0, batch.num_rows, ASKED):
+                    rows = []
+                    for row in batch.slice(at, ASKED).to_pylist():
+                        if talk != (row["conversation"],):
+                            rows += handed()
+                            talk, own = (row["conversation"],), cloudpickle.loads(row["_scorer"] or first)
+                        if row["_scorer"] is None:
+                            response, error = _ask(own, row["prompt"])
+                            rows.append({c: row[c] for c in keep} | {"response": response, "error": error})
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+            if talk:
+                yield pa.RecordBatch.from_pylist(handed(), schema)
+
+        return go_on
+
+    type_of = lambda c: told.schema[c].dataType.simpleString()
+    answered = "".join(f"{c} {type_of(c)}, " for c in keep) + f"response STRING, error STRING, _talk {type_of('conversation')}, _scorer BINARY"
+    read = lambda *turns: spark.read.schema(answered).parquet(*[f"{path}/turn-{i}" for i in turns])
+    for i, turn in enumerate(turns):
+        asked = told.where(turn).withColumn("_scorer", F.lit(None).cast("binary"))
+        if i:
+            scorers = read(i - 1).where("_scorer is not null").select(F.col("_talk").alias("conversation"), "_scorer")
+            asked = asked.unionByName(scorers, allowMissingColumns=True)
+        dealt = asked.repartition(n_tasks, "conversation").sortWithinPartitions("conversation", F.col("_scorer").isNull(), "batch")
+        dealt.mapInArrow(turn_of(i + 1 < len(turns)), answered).write.parquet(f"{path}/turn-{i}")
+    return read(*range(len(turns))).where("_scorer is null").select(*keep, "response", "error")
+
+
+def _turns(told: DataFrame, n_tasks: int, turn_mb: int) -> list[Column]:
+    """Conditions on ``batch``, one per turn, that part ``told`` (conversation, batch, _size) into ranges in order.
+
+    Added up are blocks of batches, one narrow row each, by what the fullest of the tasks gets of a block.
+    """
+    block, task = F.floor(F.col("batch") / TURN_BLOCK), F.pmod(F.hash("conversation"), F.lit(n_tasks))
+    dealt = told.groupBy(block.alias("block"), task.alias("task")).agg(F.sum("_size").alias("size"))
+    before = F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    turn = F.floor(F.coalesce(before, F.lit(0)) / (turn_mb << 20))
+    blocks = dealt.groupBy("block").agg(F.max("size").alias("size")).select("block", turn.alias("turn"))
+    starts = blocks.groupBy("turn").agg(F.min("block").alias("start")).orderBy("turn").collect()
+    cuts = [r.start * TURN_BLOCK for r in starts[1:]]
+    if not cuts:
+        return [F.lit(True)]
+    batch = F.col("batch")
+    return [
+        batch.isNull() | (batch < cuts[0]),
+        *[(batch >= low) & (batch < high) for low, high in zip(cuts, cuts[1:])],
+        batch >= cuts[-1],
+    ]
+
+
 def split_blocks(responses: DataFrame) -> DataFrame:
     """One row per answer block: text from a line-start ``JOB_ID:`` to the next."""
     text, at = F.col("response"), F.locate("\nJOB_ID:", F.col("response"))
